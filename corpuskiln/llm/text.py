@@ -13,6 +13,10 @@ import pyarrow as pa
 _SLICE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+WORD_BYTES = ~_SPACE
+#: ASCII letters and all bytes of other characters.
+LETTER_BYTES = np.zeros(256, bool)
+LETTER_BYTES[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, np.uint64)[_LOWER]
@@ -56,9 +60,12 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[where[0] : where[-1]], where - where[0]
 
 
-def word_spans(raw: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the first word of each text (with the total)."""
-    inside = ~_SPACE[raw]
+def word_spans(raw: np.ndarray, where: np.ndarray, member: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the first word of each text (with the total).
+
+    ``member`` tells of each byte value whether it belongs to a word.
+    """
+    inside = member[raw]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
@@ -87,10 +94,10 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.nd
     return mix64(out)
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, member: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of every text, and the first word of each text (with the total)."""
     raw, where = buffers(texts)
-    starts, stops, first = word_spans(raw, where)
+    starts, stops, first = word_spans(raw, where, member)
     return span_hashes(raw, starts, stops), first
 
 
