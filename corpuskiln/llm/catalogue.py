@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskiln.llm import counting, fingerprints, languages, mixing, packing, quality, toxicity
+from corpuskiln.llm import counting, fingerprints, languages, mixing, neighbours, packing, quality, toxicity
 from corpuskiln.llm.shared import table
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.assign(table(spark, sf_dir, "documents")))
 
