@@ -25,8 +25,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskiln.llm.shared import cut
@@ -76,18 +75,31 @@ def split_quotas(quotas: Sequence[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _fill_gap(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one block, the documents that bring its source nearest to its target."""
-    order = group.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
-    gap, extra = float(order["gap"].iloc[0]), []
-    for size in order["size"]:
-        take = 0 < size <= gap
-        extra.append(take)
-        gap -= size * take
-    smallest = order["size"].where(~np.array(extra) & (order["size"] > 0)).min()
-    if smallest == smallest and smallest - gap < gap:
-        extra[int(np.flatnonzero(~np.array(extra) & (order["size"] == smallest))[0])] = True
-    return order.assign(extra=extra)[["doc_id", "skey", "size", "block", "extra"]]
+def _fill_gap(items: Column, gap: Column) -> Column:
+    """Which of a block's documents, largest first, bring its source nearest to its target.
+
+    Each is taken if it still fits; at the end the smallest one left out is taken too if
+    that comes nearer.
+    """
+    start = F.struct(
+        gap.alias("gap"), F.array().cast("array<boolean>").alias("picks"), F.lit(-1).alias("spare"), F.lit(0).cast("long").alias("spare_size")
+    )
+
+    def step(acc: Column, item: Column) -> Column:
+        fits = (item["size"] > 0) & (item["size"] <= acc["gap"])
+        left_out = ~fits & (item["size"] > 0)
+        return F.struct(
+            (acc["gap"] - F.when(fits, item["size"]).otherwise(0)).alias("gap"),
+            F.concat(acc["picks"], F.array(fits)).alias("picks"),
+            F.when(left_out, F.size(acc["picks"])).otherwise(acc["spare"]).alias("spare"),
+            F.when(left_out, item["size"]).otherwise(acc["spare_size"]).alias("spare_size"),
+        )
+
+    def finish(acc: Column) -> Column:
+        nearer = (acc["spare"] >= 0) & (acc["spare_size"] - acc["gap"] < acc["gap"])
+        return F.transform(acc["picks"], lambda pick, k: pick | (nearer & (k == acc["spare"])))
+
+    return F.aggregate(items, start, step, finish)
 
 
 def assign(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ratio: float = RATIO, cap: float = CAP, seed: int = 20240517, keep: Sequence[str] = ()) -> DataFrame:
@@ -151,12 +163,17 @@ def assign(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ratio: float = R
     placed = dealt.join(draws, ["skey", "block"])
     plain = placed.where(F.col("gap").isNull()).select("doc_id", "skey", "size", "block", F.col("whole").alias("extra"), "rounds", "last")
     edge = draws.where(F.col("gap").isNotNull())
+    items = F.transform(
+        F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("order"), "doc_id"))),
+        lambda x: F.struct((-x["order"]).alias("size"), x["doc_id"].alias("doc_id")),
+    )
+    # One block for each source at most: about BLOCK_DOCS rows of two integers each.
     filled = (
-        dealt.join(F.broadcast(edge.select("skey", "block", "gap")), ["skey", "block"])
+        dealt.join(F.broadcast(edge), ["skey", "block"])
         .groupBy("skey", "block")
-        .applyInPandas(_fill_gap, "doc_id long, skey string, size long, block long, extra boolean")
-        .join(F.broadcast(edge.select("skey", "block", "rounds", "last")), ["skey", "block"])
-        .select(plain.columns)
+        .agg(items.alias("items"), *[F.first(c).alias(c) for c in ("gap", "rounds", "last")])
+        .withColumn("item", F.explode(F.arrays_zip("items", _fill_gap(F.col("items"), F.col("gap")).alias("extra"))))
+        .select("item.items.doc_id", "skey", "item.items.size", "block", "item.extra", "rounds", "last")
     )
     both = plain.unionByName(filled).join(F.broadcast(sources.select("skey", "source_size", "target")), "skey")
     return both.select(
