@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskiln.llm import counting, fingerprints, languages, mixing, neighbours, packing, quality, toxicity
+from corpuskiln.llm import counting, fingerprints, jaccard, languages, mixing, neighbours, packing, quality, toxicity
 from corpuskiln.llm.shared import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
 
