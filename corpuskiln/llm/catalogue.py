@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskiln.llm import counting, fingerprints, jaccard, languages, mixing, neighbours, packing, quality, toxicity
+from corpuskiln.llm import counting, fingerprints, jaccard, language_model, languages, mixing, neighbours, packing, quality, toxicity
 from corpuskiln.llm.shared import table
 
 
@@ -29,6 +29,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.predict(table(spark, sf_dir, "documents"))
 
