@@ -280,3 +280,18 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without all but the least id of each group.
+
+    Of rows that repeat an id one stays; rows with a null id all stay.
+    """
+    linked = join_components(docs, width, percent)
+    dropped = linked.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not again.head(1):
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)

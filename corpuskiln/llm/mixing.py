@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuskiln.llm.shared import cut
+from corpuskiln.llm.shared import cut, partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -102,8 +102,8 @@ def _fill_gap(items: Column, gap: Column) -> Column:
     return F.aggregate(items, start, step, finish)
 
 
-def assign(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ratio: float = RATIO, cap: float = CAP, seed: int = 20240517, keep: Sequence[str] = ()) -> DataFrame:
-    """Per document: size, source_size, target and placements (copy, shard); ``keep`` adds columns."""
+def assign(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ratio: float = RATIO, cap: float = CAP, seed: int = 20240517) -> DataFrame:
+    """Per document: size, source_size, target and placements (copy, shard)."""
     spark = docs.sparkSession
     keyed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -194,3 +194,12 @@ def taken(assigned: DataFrame) -> DataFrame:
     return assigned.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.size("placements")).alias("taken"), "placements"
     )
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ratio: float = RATIO, cap: float = CAP, seed: int = 20240517) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, once for each copy, dealt to shards and shuffled there."""
+    placements = assign(docs, weights, ratio, cap, seed).select(F.col("doc_id").alias("_id"), "placements").dropDuplicates(["_id"])
+    copies = docs.join(placements, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).withColumn("_p", F.explode("placements"))
+    place = F.xxhash64(F.lit(seed), "doc_id", "_p.copy")
+    dealt = copies.repartition(partitions(docs.sparkSession), "_p.shard").sortWithinPartitions("_p.shard", place)
+    return dealt.select(*[F.col(c) for c in docs.columns])

@@ -162,3 +162,18 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, m
         "doc_id", (crc_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def keep_good(docs: DataFrame, space: Space, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score at or above the threshold."""
+    broadcast = docs.sparkSession.sparkContext.broadcast(space)
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, text, 2 << 20):
+                for low in range(0, batch.num_rows, 1000):
+                    part = batch.slice(low, 1000)
+                    votes = broadcast.value.vote(term_counts(part.column(part.schema.get_field_index(text))))
+                    yield part.filter(pa.array(votes >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

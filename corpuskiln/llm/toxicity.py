@@ -196,3 +196,15 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, m
         "doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"), "offending",
     )
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score below the threshold."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, text):
+                x = instances(batch.column(batch.schema.get_field_index(text)), model.features)
+                yield batch.filter(pa.array(model.document_scores(x, model.sentence_scores(x)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
