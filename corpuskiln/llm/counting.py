@@ -7,7 +7,10 @@ have a token edge and after which both have the same tokens up to the last such
 they share. White space ends a pre-token there whatever stands around it, and BPE never
 merges across pre-tokens, so the splice is exact. If the overlap has no such place, the
 left chunk is encoded again with twice the overlap, in the end to the end of the text.
-Shorter texts are encoded whole, many to a call.
+Shorter texts of a tokenizer that drops white space and always parts there (as its file
+says, and a probe confirms) are counted by their words, each distinct word being encoded
+once for a worker's table of at most ``TABLE_WORDS`` words; for other tokenizers they are
+encoded whole, many to a call.
 
 Defined cases: a null or empty text has no bytes and no tokens; repeated rows are counted
 each; an empty table gives no rows; extra columns are not looked at.
@@ -15,7 +18,10 @@ each; an empty table gives no rows; extra columns are not looked at.
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +34,7 @@ from corpuskiln.llm.tokens import load_tokenizer
 CHUNK = 1 << 15
 OVERLAP = 1 << 9
 CALL_CHARS = 1 << 20
+TABLE_WORDS = 1_000_000
 _STABLE = re.compile(r"(?<=[A-Za-z0-9])(?=[ \t\r\n\x0b\x0c])")
 
 
@@ -83,6 +90,56 @@ def spliced_count(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERL
     return total + len(left.ids) - (left.split(counted_from) or 0)
 
 
+def parts_at_spaces(tokenizer, path: str) -> bool:
+    """Whether a text's tokens are always those of its words, one after the other."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = spec.get("pre_tokenizer") or {}
+    first = (steps.get("pretokenizers") or [steps])[0]
+    drops = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed"
+    pattern = (first.get("pattern") or {}).get("Regex", "")
+    names_space = re.search(r"\\s(?![^\[]*\])| ", pattern)
+    special = [t for t in spec.get("added_tokens", []) if re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip")]
+    forms = {n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [spec.get("normalizer") or {}])}
+    if not drops or names_space or special or not forms <= {None, "NFC", "Replace", "Lowercase"}:
+        return False
+    probe = "It's 12 o'clock\tNaïve e\u0301 \u0301x\n<|x|>a,b. don't 中文"
+    whole = tokenizer.encode(probe, add_special_tokens=False).ids
+    return whole == [i for w in probe.encode().split() for i in tokenizer.encode(w.decode(), add_special_tokens=False).ids]
+
+
+class WordTable:
+    """Token counts of words, each encoded once while it stays in the table."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.known = tokenizer, {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encodes the words in lines, many to a call, and counts by their offsets."""
+        for k in range(0, len(words), 4096):
+            some = [w.decode() for w in words[k : k + 4096]]
+            begins = np.cumsum([0, *(len(w) + 1 for w in some[:-1])])
+            found = self.tokenizer.encode("\n".join(some), add_special_tokens=False)
+            at = np.asarray(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+            counts = np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(some))
+            self.known.update(zip(words[k : k + 4096], counts.tolist()))
+
+    def count(self, texts: list[bytes]) -> list[int]:
+        split = [t.split() for t in texts]  # of bytes: at ASCII white space alone
+        new = set(itertools.chain.from_iterable(split)) - self.known.keys()
+        if len(self.known) + len(new) > TABLE_WORDS:
+            self.known.clear()
+            new = set(itertools.chain.from_iterable(split))
+        self._learn(list(new))
+        return [sum(map(self.known.__getitem__, words)) for words in split]
+
+
+@lru_cache(maxsize=4)
+def _table_of(path: str) -> WordTable | None:
+    tokenizer = load_tokenizer(path)
+    return WordTable(tokenizer) if parts_at_spaces(tokenizer, path) else None
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Per document: UTF-8 bytes, tokens, and whether there are more than ``limit``.
 
@@ -100,6 +157,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk:
             tokenizer = load_tokenizer(tokenizer_path)
             many = lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             huge = lambda text: spliced_count(tokenizer, text, chunk, overlap)
+            if (words := _table_of(tokenizer_path)) is not None:
+                many = lambda texts: words.count([t.encode() for t in texts])
         for batch in batches:
             _, where = buffers(batch.column(1))
             counts = np.zeros(batch.num_rows, np.int64)
