@@ -1 +1 @@
-"""Part of the corpuskiln engine."""
+"""Structured Streaming twins of the sequential operators."""
