@@ -8,8 +8,8 @@ documents' matrix. Every document is compared with *all* labelled vectors by exa
 in blocks of matrix products, and the ``NEIGHBOURS`` nearest vote with their similarity
 (raised to ``SHARPNESS``) as weight.
 
-The labelled vectors come from at most ``TRAIN_DOCS`` documents (those with the smallest
-hash of their id), a documented bound, so what is broadcast is at most
+The labelled vectors come from at most ``TRAIN_DOCS`` documents (chosen by a hash of the
+id), a documented bound, so what is broadcast is at most
 ``TRAIN_DOCS * DIMENSIONS + TERMS * DIMENSIONS`` numbers of four bytes.
 
 Defined cases: a null or empty text has the zero vector and gets the share of label 1
@@ -31,8 +31,8 @@ from corpuskiln.llm.shared import crc_bucket
 from corpuskiln.llm.text import buffers, slices, span_hashes, word_spans
 from corpuskiln.llm.training import labelled
 
-TRAIN_DOCS = 6_000
-TERMS = 4096
+TRAIN_DOCS = 4_000
+TERMS = 3072
 DIMENSIONS = 64
 NEIGHBOURS = 25
 SHARPNESS = 4
@@ -119,21 +119,27 @@ def fit(texts: pa.Array, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Sp
     """Leading right singular vectors of the labelled documents' weighted term matrix."""
     if not len(labels):
         return Space(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels)
-    counts = np.concatenate([term_counts(texts[k : k + 500]) for k in range(0, len(texts), 500)])
-    df = (counts > 0).sum(0)
-    idf = np.log((1 + len(counts)) / (1 + df)).astype(np.float32) + 0.2
+    df = np.zeros(TERMS)
+    x = np.empty((len(texts), TERMS), np.float32)
+    for k in range(0, len(texts), 250):
+        part = term_counts(texts[k : k + 250])
+        df += (part > 0).sum(0)
+        np.log1p(part, out=x[k : k + 250])
+    idf = np.log((1 + len(x)) / (1 + df)).astype(np.float32) + np.float32(0.2)
     idf[df == 0] = 0
-    x = np.log1p(counts) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    for k in range(0, len(x), 250):
+        part = x[k : k + 250]
+        part *= idf
+        part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
     gram = x.T @ x
     basis = np.random.Generator(np.random.PCG64(11)).standard_normal((TERMS, min(dimensions + 16, len(x)))).astype(np.float32)
     for _ in range(6):
         basis, _ = np.linalg.qr(gram @ basis)
     values, turn = np.linalg.eigh(basis.T @ gram @ basis)
     axes = (basis @ turn[:, np.argsort(-values)[:dimensions]]).astype(np.float32)
-    space = Space(idf, axes, np.zeros((0, 1), np.float32), labels.astype(np.float32))
-    space.vectors = space.project(counts)
-    return space
+    vectors = x @ axes
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    return Space(idf, axes, vectors, labels.astype(np.float32))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_DOCS, modulus: int = 3, held: int = 1) -> Space:

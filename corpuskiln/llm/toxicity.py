@@ -7,8 +7,8 @@ are learned from document labels alone, by gradient descent on the noisy-or like
 with an L1 penalty, so the words that mark offending sentences stand out. Scoring also
 gives the places of the offending sentences.
 
-The model is fitted on at most ``TRAIN_DOCS`` labelled documents (those with the smallest
-hash of their id), a documented bound; it is a sorted table of at most ``MOST_FEATURES``
+The model is fitted on at most ``TRAIN_DOCS`` labelled documents (chosen by a hash of the
+id), a documented bound; it is a sorted table of at most ``MOST_FEATURES``
 hashes and weights, and is sent to the tasks as such.
 
 Defined cases: a null, empty or wordless text is scored by its sentences without words,
@@ -30,7 +30,8 @@ from corpuskiln.llm.shared import crc_bucket
 from corpuskiln.llm.text import LETTER_BYTES, buffers, slices, span_hashes, word_spans
 from corpuskiln.llm.training import labelled
 
-TRAIN_DOCS = 8_000
+TRAIN_DOCS = 6_000
+TRAIN_SLICE = 500
 MIN_DOCS = 4
 MOST_FEATURES = 20_000
 PREFIXES = (4, 6, 8)
@@ -120,11 +121,17 @@ def _document_frequencies(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarr
 
 def telling_features(texts: pa.Array, labels: np.ndarray, min_docs: int = MIN_DOCS, most: int = MOST_FEATURES) -> np.ndarray:
     """Features of some documents whose share of label 1 differs most from the whole's."""
-    parts = []
-    for k in range(0, len(texts), 500):
-        parts.append(_document_frequencies(texts[k : k + 500], labels[k : k + 500]))
-    vocabulary, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    zero, one = (np.bincount(at, np.concatenate([p[k] for p in parts]), len(vocabulary)) for k in (1, 2))
+    vocabulary, zero, one = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    for k in range(0, len(texts), TRAIN_SLICE):
+        more = _document_frequencies(texts[k : k + TRAIN_SLICE], labels[k : k + TRAIN_SLICE])
+        merged = np.union1d(vocabulary, more[0])
+        counts = []
+        for own, new in ((zero, more[1]), (one, more[2])):
+            total = np.zeros(len(merged), np.int32)
+            total[np.searchsorted(merged, vocabulary)] = own
+            total[np.searchsorted(merged, more[0])] += new.astype(np.int32)
+            counts.append(total)
+        vocabulary, (zero, one) = merged, counts
     n1, n0 = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
     odds = np.log((one + 0.5) / (n1 + 1)) - np.log((zero + 0.5) / (n0 + 1))
     z = odds / np.sqrt(1 / (one + 0.5) + 1 / (zero + 0.5))
@@ -132,12 +139,22 @@ def telling_features(texts: pa.Array, labels: np.ndarray, min_docs: int = MIN_DO
     return np.sort(vocabulary[np.argsort(-np.abs(z), kind="stable")[:most]][np.abs(np.sort(-np.abs(z))[:most]) > 2])
 
 
+def _joined(parts: list[Instances]) -> Instances:
+    sentences = np.cumsum([0, *(len(p.document) for p in parts)])
+    documents = np.cumsum([0, *(p.documents for p in parts)])
+    return Instances(
+        np.concatenate([p.features for p in parts]), np.concatenate([p.sentence + s for p, s in zip(parts, sentences)]),
+        np.concatenate([p.document + d for p, d in zip(parts, documents)]), np.concatenate([p.begin for p in parts]),
+        np.concatenate([p.end for p in parts]), int(documents[-1]),
+    )
+
+
 def fit(texts: pa.Array, labels: np.ndarray, steps: int = STEPS, l1: float = L1) -> Model:
     """Weights by proximal Adam on the mean negative log-likelihood of the noisy-or."""
     if not len(labels):
         return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
     vocabulary = telling_features(texts, labels)
-    x = instances(texts, vocabulary)
+    x = _joined([instances(texts[k : k + TRAIN_SLICE], vocabulary) for k in range(0, len(texts), TRAIN_SLICE)])
     at, sentence, n_sentences, size = np.searchsorted(vocabulary, x.features), x.sentence, len(x.document), len(vocabulary)
     per_doc = max(1.0, float(np.bincount(x.document, minlength=x.documents).mean()))
     bias = float(np.log(max(float(labels.mean()), 1e-4) / per_doc))

@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 from corpuskiln.llm.shared import crc_bucket
 
 
+_CELLS = 1 << 24
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, modulus: int, held: int) -> pa.Table:
-    """(text, label) of at most ``most`` labelled documents outside the held-out part."""
+    """(doc_id, text, label) of about ``most`` labelled documents at most, outside the held-out part.
+
+    Which ones is decided by a hash of the id below a bound, so no task sorts the labels.
+    Ids with null or contradicting labels are left out.
+    """
     usable = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket(F.col("doc_id"), modulus) != held))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min(label).alias("label"), F.max(label).alias("other"))
         .where(F.col("label") == F.col("other"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most)
-        .select("doc_id", F.col("label").cast("int").alias("label"))
     )
-    # At most ``most`` rows of two integers.
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(usable), "doc_id")
-    table = found.toArrow()
-    return table.sort_by([("doc_id", "ascending")])
+    bound = _CELLS * most // max(1, usable.count())
+    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(_CELLS)) < bound).select("doc_id", F.col("label").cast("int").alias("label"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # About ``most`` rows of two integers.
+    return texts.join(F.broadcast(chosen), "doc_id").toArrow().sort_by([("doc_id", "ascending")])
