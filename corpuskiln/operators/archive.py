@@ -47,7 +47,7 @@ def build_header(packing_name: str, tokenizer: str, backend: str, transport: str
 
 
 def parse_header(data: bytes) -> Header:
-    if data[:4] != MAGIC:
+    if data[:4] != MAGIC or len(data) < 6:
         raise ValueError("not an archive")
     if data[4] != VERSION:
         raise ValueError(f"archive version {data[4]} isn't {VERSION}")
@@ -56,6 +56,8 @@ def parse_header(data: bytes) -> Header:
         raise ValueError(f"unknown packing code {data[5]}")
     at, names = 6, []
     for _ in range(3):
+        if at >= len(data):
+            raise ValueError("archive ends within its header")
         names.append(data[at + 1 : at + 1 + data[at]].decode("ascii"))
         at += 1 + data[at]
     if len(data) < at + FOOTER:

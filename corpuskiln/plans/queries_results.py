@@ -60,9 +60,10 @@ def results_by_file(spark, sf_dir):
     )
 
 
-@query(f"WITH {RESULTS} SELECT count(*) AS rows, round(sum(total_time_s) / 3600, 6) AS hours, sum(unsafe_boundary_cuts)::BIGINT AS unsafe_cuts, max(corpus_bytes) AS largest FROM ok")
+@query(f"WITH {RESULTS} SELECT count(*) AS rows, sum(round(total_time_s * 1000)::BIGINT)::BIGINT AS total_ms, sum(unsafe_boundary_cuts)::BIGINT AS unsafe_cuts, max(corpus_bytes) AS largest FROM ok")
 def results_totals(spark, sf_dir):
-    return _rounded(_ok(spark, sf_dir).agg(F.count(F.lit(1)).alias("rows"), (F.sum("total_time_s") / 3600).alias("hours"), F.sum("unsafe_boundary_cuts").alias("unsafe_cuts"), F.max("corpus_bytes").alias("largest")), "hours")
+    milliseconds = F.round(F.col("total_time_s") * 1000).cast("long")
+    return _ok(spark, sf_dir).agg(F.count(F.lit(1)).alias("rows"), F.sum(milliseconds).alias("total_ms"), F.sum("unsafe_boundary_cuts").alias("unsafe_cuts"), F.max("corpus_bytes").alias("largest"))
 
 
 @query(f"WITH {RESULTS} SELECT row_id, corpus_tier, NULL::VARCHAR AS note, ratio FROM ok WHERE corpus_tier = '64KB' UNION ALL SELECT row_id, corpus_tier, 'rerun', NULL FROM log WHERE line >= 1000000")
