@@ -6,7 +6,8 @@ first ``size - ceil(percent% of size) + k`` tokens in any one order of all token
 gives the indexes below; every candidate is verified on the whole sets.
 
 1. Documents with equal sets are folded to their least id.
-2. Tokens are ordered by hash; each document lists a prefix extended by ``EXTRA``. A token
+2. Tokens are ordered by hash; each document lists a prefix extended by ``EXTRA``
+   tokens and a part of its length. A token
    that more than ``FREQUENT`` lists hold is *frequent* and goes to the end of the order.
 3. *Plain* documents still have a whole prefix of rare tokens in their list: they are
    indexed by single rare tokens, and a pair must share as many as the extension promises.
@@ -17,10 +18,10 @@ gives the indexes below; every candidate is verified on the whole sets.
    by the number of token classes of the size, so that one class holds two shared tokens;
    only combinations within a class are indexed, which keeps them linear in the prefix.
 5. Posting lists of frequent combinations may be long. First every document is compared
-   with the leader of its list alone (four orders of leaders); lists that lie in one
-   component then need nothing more, and of the others only pairs across components are
-   looked at, in blocks of ``BLOCK`` rows so that no task holds a whole list. A bitmap of
-   each set gives an exact upper bound of the similarity before sets are moved.
+   with the leader of its list alone, in several turns; lists that lie in one component then
+   need nothing more, and of the others at last all pairs across components are looked at,
+   in blocks of ``BLOCK`` rows so that no task holds a whole list. Parities of
+   hashed cells of each set give an exact upper bound of the similarity before sets are moved.
 
 No pair is lost: a pair is left out only if its sets cannot reach the threshold, or if its
 documents are already known to be connected.
@@ -42,12 +43,14 @@ from corpuskiln.llm.components import components
 from corpuskiln.llm.shared import cut
 from corpuskiln.llm.text import mix64, shingle_hashes, slices, word_hashes
 
-EXTRA = 8
+EXTRA, EXTRA_PART = 8, 4
 FREQUENT = 8
 CLASS_TOKENS = 4
 BLOCK = 512
 ORDERS = 4
+TURNS = 3
 BITS = 1024
+MOST_MARKS = 1 << 25
 
 
 def needed(size, percent: int):
@@ -66,11 +69,25 @@ def token_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(words[a:b], width)) for a, b in zip(first[:-1], first[1:])]
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Bits of the set's hashes, as longs."""
-    bits = np.zeros(BITS, np.uint8)
-    bits[(tokens % np.uint64(BITS)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64)
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """For each of ``BITS`` cells whether an odd number of tokens falls in it, as longs.
+
+    Tokens that two sets share cancel out in the exclusive or of their parities, so its bits
+    are at most as many as the tokens that only one of them holds, and nearly as many.
+    """
+    odd = np.bincount((tokens % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def promised(size, percent: int):
+    """Shared tokens that the extended prefix of a set of this size gives."""
+    return EXTRA + prefix_length(size, percent) // EXTRA_PART
+
+
+def _sql(form: str, size: str, percent: int) -> Column:
+    """``needed`` or ``promised`` of a column, as a 32-bit integer."""
+    need = f"({percent} * {size} + 99) div 100"
+    return F.expr(f"cast({need} as int)" if form == "needed" else f"cast({EXTRA} + ({size} - {need} + 1) div {EXTRA_PART} as int)")
 
 
 def features(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -85,7 +102,7 @@ def features(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     sizes.append(n)
                     ones.append(int(mix64(tokens).sum(dtype=np.uint64).view(np.int64)) if n else 0)
                     twos.append(int(mix64(tokens ^ np.uint64(0x5DEECE66D1CE4E5B)).sum(dtype=np.uint64).view(np.int64)) if n else 0)
-                    lists.append(tokens[: prefix_length(n, percent, EXTRA)].view(np.int64))
+                    lists.append(tokens[: prefix_length(n, percent, promised(n, percent))].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(sizes, pa.int32()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(lists, pa.list_(pa.int64()))],
                     ["doc", "n", "h1", "h2", "listed"],
@@ -96,22 +113,40 @@ def features(docs: DataFrame, width: int, percent: int) -> DataFrame:
     )
 
 
+def _marks(wanted: DataFrame) -> np.ndarray:
+    """A bit for the hash of each wanted id, in at most ``MOST_MARKS`` bits."""
+    bits = 1 << min(MOST_MARKS.bit_length() - 1, max(16, (64 * wanted.count()).bit_length()))
+    at = F.pmod(F.xxhash64("doc"), F.lit(bits))
+    words = wanted.groupBy(F.floor(at / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc), {bits}) % 64 as int))")).alias("bits"))
+    found = words.toArrow()  # at most MOST_MARKS / 64 rows
+    out = np.zeros(bits // 64, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc, n, tokens, bits) of the wanted documents, from their texts."""
+    """(doc, n, tokens, bits) of the wanted documents, from their texts, and of a few others.
+
+    Texts are not moved: a table of hashed bits, of a fixed size at most, tells the scanning
+    tasks which documents to look at. Beyond that size more others come along; every use of
+    the sets joins them by id.
+    """
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(wanted))
 
     def run(batches):
         for whole in batches:
+            at = whole.column(2).to_numpy() % (64 * len(marks.value))
+            word, bit = at // 64, (at % 64).astype(np.uint64)
+            whole = whole.filter(pa.array((marks.value[word] >> bit & np.uint64(1)).astype(bool)))
             for batch in slices(whole, "text"):
                 sets = token_sets(batch.column(1), width)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))],
+                    [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parities(s) for s in sets], pa.list_(pa.int64()))],
                     ["doc", "n", "tokens", "bits"],
                 )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    return texts.join(wanted.select("doc").distinct(), "doc", "left_semi").mapInArrow(
-        run, "doc long, n int, tokens array<long>, bits array<long>"
-    ).dropDuplicates(["doc"])
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    return texts.withColumn("hash", F.xxhash64("doc")).mapInArrow(run, "doc long, n int, tokens array<long>, bits array<long>").where("n > 0")
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -119,7 +154,7 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
 
 
 def _bits_fit(a: str, b: str, percent: int) -> Column:
-    """Whether the bits that differ allow the threshold: each costs a token of one set alone."""
+    """Whether the parities that differ allow the threshold: each costs a token of one set alone."""
     differ = F.aggregate(F.zip_with(f"{a}.bits", f"{b}.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return differ * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent)
 
@@ -149,7 +184,7 @@ def _combination_keys(crowded: DataFrame, percent: int) -> DataFrame:
             n_of, rare_of, frequent_of, left_of = (batch.column(k).to_pylist() for k in (1, 2, 3, 4))
             for k, n in enumerate(n_of):
                 keys = [np.asarray(rare_of[k] or [], np.int64)]
-                frequent = np.sort(np.asarray(frequent_of[k] or [], np.int64).view(np.uint64))
+                frequent = np.unique(np.asarray(frequent_of[k] or [], np.int64).view(np.uint64))
                 spare = prefix_length(n, percent) - left_of[k]
                 if spare > 0 and n > 1:
                     low = n.bit_length() - 1
@@ -174,21 +209,31 @@ def _combination_keys(crowded: DataFrame, percent: int) -> DataFrame:
     return crowded.select("doc", "n", "rare", "frequent", "n_rare", "bits").mapInArrow(run, "key long, doc long, n int, bits array<long>")
 
 
-def _leader_pairs(keyed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each document with the leader of each of its lists."""
-    order = F.xxhash64(F.pmod("key", F.lit(ORDERS)), "doc")
-    leaders = keyed.groupBy("key").agg(F.min_by(F.struct("doc", "n", "bits"), F.struct(order, F.col("doc"))).alias("y"), F.count(F.lit(1)).alias("many"))
-    met = keyed.select("key", F.struct("doc", "n", "bits").alias("x")).join(leaders.where("many > 1"), "key")
-    fit = (F.col("x.doc") != F.col("y.doc")) & _sizes_fit(F.col("x.n"), F.col("y.n"), percent) & _bits_fit("x", "y", percent)
+def _leader_pairs(keyed: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs of each document with the leader of each of its lists, across components.
+
+    The first turn has ``ORDERS`` orders of documents, so that few documents lead; later
+    turns, when most lists are in one component, have an order for each list.
+    """
+    order = F.xxhash64(F.pmod("key", F.lit(ORDERS)), "doc") if not turn else F.xxhash64(F.lit(turn), "key", "doc")
+    leaders = keyed.groupBy("key").agg(F.min_by(F.struct("doc", "n", "bits", "part"), F.struct(order, F.col("doc"))).alias("y"), F.count(F.lit(1)).alias("many"))
+    met = keyed.select("key", F.struct("doc", "n", "bits", "part").alias("x")).join(leaders.where("many > 1"), "key")
+    fit = (F.col("x.part") != F.col("y.part")) & _sizes_fit(F.col("x.n"), F.col("y.n"), percent) & _bits_fit("x", "y", percent)
     return met.where(fit).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
 
-def _cross_pairs(keyed: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list across components, for lists that lie in more than one."""
-    placed = keyed.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc"))
-    open_ = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("many"))
-    open_ = open_.where("low < high").select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
-    blocked = placed.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+def _open_lists(keyed: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of the lists that lie in more than one component, with the documents' components."""
+    placed = keyed.select("key", "doc", "n", "bits").join(parts.withColumnRenamed("node", "doc"), "doc", "left")
+    placed = placed.select("key", "doc", "n", "bits", F.coalesce("component", "doc").alias("part"))
+    ends = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    return placed.join(ends.select("key"), "key", "left_semi")
+
+
+def _cross_pairs(keyed: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a list across components."""
+    sizes = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocked = keyed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     one = lambda name: blocked.select(
         "key", F.struct("doc", "n", "bits", "part").alias(name), F.col("block").alias(f"{name}_block"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
@@ -207,24 +252,27 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     every = cut(features(docs, width, percent))
     filled = every.where("n > 0 and doc is not null")
     folded = cut(filled.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    member = filled.select("doc", "h1", "h2").join(folded.where("copies > 1"), ["h1", "h2"]).select("doc", "rep")
-    member = cut(member)
+    member = filled.select("doc", "h1", "h2").join(folded.where("copies > 1"), ["h1", "h2"])
+    member = cut(member.groupBy("doc").agg(F.min("rep").alias("rep")))  # rows may repeat an id
     reps = filled.join(member.where("doc <> rep"), "doc", "left_anti").select("doc", "n", "listed")
     postings = reps.select("doc", "n", F.explode("listed").alias("token"))
     counts = cut(postings.groupBy("token").count().where("count > 1"))
     known = cut(postings.join(counts, "token"))
 
-    crowd = known.groupBy("doc", "n").agg(F.count_if(F.col("count") > FREQUENT).alias("n_frequent"))
-    crowd = crowd.where("n_frequent > 0").withColumn("promise", F.greatest(F.lit(1), F.lit(EXTRA) - F.col("n_frequent")))
-    length = F.least(F.col("n"), F.col("n") - F.expr(f"({percent} * n + 99) div 100") + EXTRA)
-    crowd = cut(crowd.withColumn("crowded", length - F.col("n_frequent") < F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1))
+    crowd = known.groupBy("doc", "n").agg(F.count_if(F.col("count") > FREQUENT).alias("n_frequent")).where("n_frequent > 0")
+    left = _sql("promised", "n", percent) - F.col("n_frequent")
+    length = F.least(F.col("n"), F.col("n") - _sql("needed", "n", percent) + _sql("promised", "n", percent)) - F.col("n_frequent")
+    crowd = cut(
+        crowd.withColumn("promise", F.greatest(F.lit(1), left).cast("int"))
+        .withColumn("crowded", length < F.col("n") - _sql("needed", "n", percent) + 1)
+    )
     crowded = crowd.where("crowded").select("doc")
 
     # Single rare tokens of plain documents.
     rare = known.where(F.col("count") <= FREQUENT).join(crowd.select("doc", "promise", "crowded"), "doc", "left")
-    rare = cut(rare.where(~F.coalesce("crowded", F.lit(False))).select("token", "doc", "n", F.coalesce("promise", F.lit(EXTRA)).alias("promise")))
-    # A list that ends with its set is not extended by all of EXTRA.
-    promise = lambda x: F.least(f"{x}.promise", F.expr(f"({percent} * {x}.n + 99) div 100"))
+    rare = cut(rare.where(~F.coalesce("crowded", F.lit(False))).select("token", "doc", "n", F.coalesce("promise", _sql("promised", "n", percent)).alias("promise")))
+    # No more can be shared than a set needs at all.
+    promise = lambda x: F.least(f"{x}.promise", _sql("needed", f"{x}.n", percent))
     x, y = (rare.select("token", F.struct("doc", "n", "promise").alias(c)) for c in "xy")
     plain = (
         x.join(y, "token").where((F.col("x.doc") < F.col("y.doc")) & _sizes_fit(F.col("x.n"), F.col("y.n"), percent))
@@ -240,16 +288,17 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     # Crowded with plain documents: rare tokens of both in the first order.
     position = Window.partitionBy("doc").orderBy(F.expr("token < 0"), "token")
-    own_rare = tokens.join(counts.where(F.col("count") > FREQUENT), "token", "left_anti").withColumn("at", F.row_number().over(position))
-    own_rare = cut(own_rare.where(F.col("at") <= F.col("n") - F.expr(f"({percent} * n + 99) div 100") + EXTRA).select("token", "doc", "n"))
+    own_rare = tokens.join(counts.where(F.col("count") > FREQUENT), "token", "left_anti").withColumn("at", F.dense_rank().over(position))
+    within = F.col("n") - _sql("needed", "n", percent) + _sql("promised", "n", percent)
+    own_rare = cut(own_rare.where(F.col("at") <= within).select("token", "doc", "n"))
     unseen = own_rare.select("token").distinct().join(counts, "token", "left_anti")
     missed = postings.join(crowded, "doc", "left_anti").join(unseen, "token", "left_semi").join(crowd.select("doc", "promise"), "doc", "left")
-    plain_rare = rare.unionByName(missed.select("token", "doc", "n", F.coalesce("promise", F.lit(EXTRA)).alias("promise")))
+    plain_rare = rare.unionByName(missed.select("token", "doc", "n", F.coalesce("promise", _sql("promised", "n", percent)).alias("promise")))
     x, y = plain_rare.select("token", F.struct("doc", "n", "promise").alias("x")), own_rare.select("token", F.struct("doc", "n").alias("y"))
     mixed = (
         x.join(y, "token").where(_sizes_fit(F.col("x.n"), F.col("y.n"), percent))
         .groupBy(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.first(F.least(promise("x"), F.expr(f"({percent} * y.n + 99) div 100"))).alias("promise"))
+        .agg(F.count(F.lit(1)).alias("shared"), F.first(F.least(promise("x"), _sql("needed", "y.n", percent))).alias("promise"))
         .where("shared >= promise").select("a", "b")
     )
     mixed = cut(mixed)
@@ -262,14 +311,19 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         F.collect_list(F.when(F.col("count") <= FREQUENT, F.col("token"))).alias("rare"),
         F.collect_list(F.when(F.col("count") > FREQUENT, F.col("token"))).alias("frequent"),
     )
-    index = full.select("doc", "n", "bits").join(split, "doc").withColumn("n_rare", (F.col("n") - F.size("frequent")).cast("int"))
-    keyed = cut(_combination_keys(index, percent))
-    first = verified(plain.unionByName(mixed).unionByName(_leader_pairs(keyed, percent)).distinct(), sets, percent)
-    links = cut(first)
+    index = full.select("doc", "n", "bits").join(split, "doc").withColumn("n_rare", (F.col("n") - F.size(F.array_distinct("frequent"))).cast("int"))
+    keyed = cut(_combination_keys(index, percent).withColumn("part", F.col("doc")))
+    links = cut(verified(plain.unionByName(mixed).unionByName(_leader_pairs(keyed, percent, 0)).distinct(), sets, percent))
     parts = components(links)
-    second = cut(verified(_cross_pairs(keyed, parts, percent), sets, percent))
-    if second.head(1):
-        parts = components(links.unionByName(second))
+    for turn in range(1, TURNS + 1):
+        keyed = cut(_open_lists(keyed, parts))
+        if not keyed.head(1):
+            break
+        pairs = _leader_pairs(keyed, percent, turn) if turn < TURNS else _cross_pairs(keyed, percent)
+        found = cut(verified(pairs, sets, percent))
+        if found.head(1):
+            links = links.unionByName(found)
+            parts = components(links)
 
     classes = member.withColumnRenamed("rep", "node").join(parts, "node", "left").select("doc", F.coalesce("component", "node").alias("c1"))
     return (

@@ -113,7 +113,7 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix64(out)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """Row slices of a batch of about ``most`` text bytes, so that memory stays bounded."""
     at = batch.schema.get_field_index(column)
     _, where = buffers(batch.column(at))
