@@ -45,6 +45,7 @@ BATCH = 1 << 14
 RATE = 0.4
 ROUNDS = 1
 TABLE_WORDS = 1 << 18
+MOST_COUNT = 1_000_000
 BLOCK_FEATURES = 256
 END_HASH = np.uint64(0x2545F4914F6CDD1D)
 _START = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B], np.uint64)
@@ -125,24 +126,24 @@ def adagrad(weights: np.ndarray, squares: np.ndarray, index: np.ndarray, classes
         weights -= RATE * step / np.sqrt(squares + 1e-3)
 
 
-def _summed(rows: DataFrame) -> DataFrame:
+def _rows(matrix: np.ndarray, kind: type) -> pa.RecordBatch:
+    """The rows of a matrix as (key, values), values as the bytes of numbers of a kind."""
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(matrix)), pa.int32()), pa.array([r.astype(kind).tobytes() for r in matrix], pa.binary())], ["key", "values"])
+
+
+def _summed(rows: DataFrame, kind: type) -> DataFrame:
     """Element-wise sums of ``values`` by ``key``; a task holds one array for each of its keys."""
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            lists = batch.column(1)
-            width = len(lists[0]) if len(lists) else 0
-            values = lists.flatten().to_numpy().reshape(-1, width)
-            for key, row in zip(batch.column(0).to_pylist(), values):
-                if key in total:
-                    total[key] += row
-                else:
-                    total[key] = row.astype(np.float64)
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                row = np.frombuffer(value.as_py(), kind).astype(np.float64)
+                total[key] = total[key] + row if key in total else row
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["key", "values"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["key", "values"])
 
-    return rows.repartition(partitions(rows.sparkSession), "key").mapInArrow(run, "key int, values array<double>")
+    return rows.repartition(partitions(rows.sparkSession), "key").mapInArrow(run, "key int, values binary")
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -190,13 +191,13 @@ def cluster_of_cells(train: DataFrame) -> np.ndarray:
                 x = np.bincount(doc[word] * CELLS + t.kinds[word] // MARKS, minlength=n * CELLS).reshape(n, CELLS).astype(np.float32)
                 x = np.sqrt(x / np.maximum(x.sum(1, keepdims=True), 1))
                 gram += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CELLS), pa.int32()), pa.array(gram.tolist(), pa.list_(pa.float32()))], ["key", "values"])
+        yield _rows(gram, np.float32)
 
     # CELLS rows of CELLS numbers, whatever the input's size.
-    rows = _summed(train.select("text").mapInArrow(run, "key int, values array<float>")).collect()
+    rows = _summed(train.select("text").mapInArrow(run, "key int, values binary"), np.float32).collect()
     gram = np.zeros((CELLS, CELLS))
     for r in rows:
-        gram[r["key"]] = r["values"]
+        gram[r["key"]] = np.frombuffer(r["values"])
     return spectral(gram)
 
 
@@ -238,13 +239,13 @@ def train_weights(train: DataFrame, classes: np.ndarray, weights: np.ndarray) ->
                 seen += len(y)
         if seen:
             change = ((w - start.value[1]) * (seen / 1e6)).reshape(-1, BLOCK_FEATURES * CLASSES)
-            rows = [*change.astype(np.float32), np.full(BLOCK_FEATURES * CLASSES, 0, np.float32)]
-            rows[-1][0] = seen / 1e6
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(rows).astype(np.float16)), BLOCK_FEATURES * CLASSES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), lists.cast(pa.list_(pa.float16())).cast(pa.list_(pa.float32()))], ["key", "values"])
+            tail = np.zeros((1, BLOCK_FEATURES * CLASSES))
+            tail[0, 0] = seen / 1e6
+            yield _rows(np.concatenate([change, tail]), np.float16)
 
     total = weights.reshape(-1, BLOCK_FEATURES * CLASSES).copy()
-    rows = {r["key"]: np.asarray(r["values"]) for r in _summed(train.select("text").mapInArrow(run, "key int, values array<float>")).toLocalIterator()}
+    summed = _summed(train.select("text").mapInArrow(run, "key int, values binary"), np.float16)
+    rows = {r["key"]: np.frombuffer(r["values"]) for r in summed.toLocalIterator()}
     seen = rows.pop(len(total), np.zeros(1))[0]
     for key, value in rows.items():
         total[key] += (value / max(seen, 1e-9)).astype(np.float32)
@@ -279,7 +280,11 @@ def fit(train: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     unseen[-1] = 1e-9
     unseen[kinds == 0] = 1 - 1e-9
     share = np.log10(1 - unseen) - np.log10(np.maximum(mass + 0.5 * kinds, 0.5))
-    top = counts.orderBy(F.desc("c"), "h").limit(TABLE_WORDS).select("h", "c").toArrow()
+    # A histogram of counts gives the least count whose words fit the table; no sort, no limit.
+    sizes = counts.groupBy(F.least("c", F.lit(MOST_COUNT)).alias("c")).agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by([("c", "descending")])
+    fits = np.cumsum(sizes["n"].to_numpy()) <= TABLE_WORDS
+    least = int(sizes["c"][int(fits.sum()) - 1].as_py()) if fits.any() else MOST_COUNT + 1
+    top = counts.where(F.least("c", F.lit(MOST_COUNT)) >= least).select("h", "c").toArrow()
     words, held = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
     order = np.argsort(words)
     return Model(classes, weights, words[order], held[order], share, np.log10(unseen), int(mass.sum()), int(kinds.sum())), counts
