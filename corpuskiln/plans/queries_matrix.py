@@ -84,3 +84,23 @@ def resume_antijoin(spark, sf_dir):
     log = synth.results(spark, sf_dir)
     todo = log.where("corpus_tier = '256KB'").select("row_id", "backend").distinct()
     return matrix.remaining(todo, log)
+
+
+@query("SELECT * FROM (VALUES ('fig_gap.png'), ('fig_threads.png')) v(figure)")
+def missing_figures(spark, sf_dir):
+    """Expected names without those that are present."""
+    expected = spark.createDataFrame([(f"fig_{n}.png",) for n in ("gap", "pareto", "ratio", "threads")], "figure string")
+    present = spark.createDataFrame([("fig_pareto.png",), ("fig_ratio.png",), ("other.png",)], "figure string")
+    return expected.subtract(present)
+
+
+@query(f"WITH {CELLS} SELECT backend, family, CASE WHEN family = 'bz2' THEN 'bzip2' ELSE family END AS plot_family, CASE family WHEN 'lzma' THEN 0 WHEN 'zstd' THEN 1 WHEN 'gzip' THEN 2 ELSE 3 END AS family_ord, CASE backend WHEN 'lzma_extreme' THEN '64 MiB' WHEN 'lzma_tuned_lp1pb1' THEN '64 MiB' WHEN 'lzma_fast' THEN '32 MiB' WHEN 'zstd_12' THEN '128 MiB' WHEN 'zstd_19' THEN '128 MiB' WHEN 'zstd_22_long' THEN '2 GiB' WHEN 'gzip_9' THEN '32 KiB' ELSE '900 KiB blk' END AS window_label FROM bck")
+def backend_dimension(spark, sf_dir):
+    """Backends with the family and window that figures show."""
+    from corpuskiln.plans import dims
+
+    labels = {"gzip_9": "32 KiB", "bz2_9": "900 KiB blk"} | {b: f"{v[2]} MiB" for b, v in dims.BACKENDS.items() if v[2]} | {b: "2 GiB" if v[4] == 31 else f"{1 << (v[4] - 20)} MiB" for b, v in dims.BACKENDS.items() if v[4]}
+    label = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    plot = dims.plot_family(F.col("backend"))
+    order = F.array_position(F.array(*[F.lit(f) for f in dims.FAMILY_ORDER]), plot) - 1
+    return dims.backends(spark).select("backend", "family", plot.alias("plot_family"), order.cast("int").alias("family_ord"), label[F.col("backend")].alias("window_label"))

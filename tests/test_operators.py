@@ -177,3 +177,19 @@ def test_numpy_and_plain_unpacking_agree():
                 plain.append(value)
                 value = 0
         assert plain == ids == packing.leb128_ids(packing.leb128_bytes(ids))[0].tolist()
+
+
+def test_tools_as_processes():
+    import shutil
+
+    for backend, tool in (("gzip_9", "gzip"), ("bz2_9", "bzip2"), ("lzma_fast", "xz"), ("zstd_12", "zstd")):
+        if shutil.which(tool):
+            packed = codecs.compress([b"abc " * 5000, b"end"], backend, "subprocess_cli", 2)
+            assert b"".join(codecs.decompress(packed, backend, "subprocess_cli", 2)) == b"abc " * 5000 + b"end"
+            assert b"".join(codecs.decompress(packed, backend)) == b"abc " * 5000 + b"end"
+
+
+def test_byte_classes(spark):
+    df = spark.createDataFrame([(b,) for b in (0x41, 0x80, 0xBF, 0xC3, 0xE4, 0xF0, 0xFF)], "b int")
+    found = [tuple(r) for r in df.select(text.sequence_length(F.col("b")), text.is_continuation(F.col("b"))).collect()]
+    assert found == [(1, False), (None, True), (None, True), (2, False), (3, False), (4, False), (None, False)]

@@ -75,3 +75,72 @@ def test_streamed_log(spark, tmp_path):
     log = carry.result_log(spark, str(tmp_path / "log"), "row_id string, ratio double")
     carry.run_available(log.where(F.col("ratio") > 1), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_fetching_tries_again_and_gives_up():
+    import urllib.error
+
+    from corpuskiln.sources import http
+
+    waits, calls = [], []
+
+    def flaky(url):
+        calls.append(url)
+        if len(calls) < 4:
+            raise OSError("reset")
+        return b"body"
+
+    assert http.fetch("u", flaky, waits.append) == b"body" and waits == [2, 4, 8]
+
+    def missing(url):
+        calls.append(url)
+        raise urllib.error.HTTPError(url, 404, "gone", {}, None)
+
+    calls.clear()
+    with pytest.raises(urllib.error.HTTPError):
+        http.fetch("u", missing, waits.append)
+    assert len(calls) == 1
+
+
+def test_http_source_keeps_order_and_rows(spark, tmp_path):
+    from corpuskiln.sources import http
+
+    for k in range(5):
+        (tmp_path / f"{k}.txt").write_text(f"document {k}")
+    names = [(tmp_path / f"{k}.txt").as_uri() for k in range(5)]
+    names.insert(2, (tmp_path / "bad.bin").as_uri())
+    (tmp_path / "bad.bin").write_bytes(b"\xff\xfe\xfa")
+    (tmp_path / "list").write_text("\n".join([*names, "", " "]))
+    spark.dataSource.register(http.HttpDocuments)
+    rows = spark.read.format("http_documents").option("urls", str(tmp_path / "list")).option("perTask", 2).load().orderBy("ord").collect()
+    assert [r["ord"] for r in rows] == list(range(6)) and rows[2]["text"] is None and rows[2]["error"] and rows[5]["text"] == "document 4"
+
+
+def test_archive_files_are_described(spark, tmp_path):
+    from corpuskiln.operators import archive
+    from corpuskiln.sources import archives
+
+    data = "some text é ".encode() * 300
+    for name, settings in (("a", ("r50k_base", "fixed_u16", "zstd_12")), ("b", ("none", "raw_utf8", "bz2_9"))):
+        (tmp_path / name).write_bytes(archive.build(data, *settings)[0])
+    found = {r["path"][-1]: r for r in archives.read(spark, str(tmp_path)).collect()}
+    assert found["a"]["known"] and (found["a"]["tokenizer"], found["a"]["packing"], found["a"]["backend"]) == ("r50k_base", "fixed_u16", "zstd_12")
+    assert found["b"]["orig_len"] == len(data) and found["b"]["token_count"] == 0 and found["a"]["token_count"] > 0 and found["a"]["sha256"] == found["b"]["sha256"]
+
+
+def test_resources(spark):
+    from corpuskiln.sources import resources
+
+    seen = resources.snapshot()
+    assert seen["cores"] >= 1 and 4 <= seen["batch_chunks_default"] <= 128 and seen["ram_available"] > 0
+    assert resources.parse_version("xz (XZ Utils) 5.4.1") == (5, 4, 1) and resources.parse_version("none") is None
+    assert resources.tools(spark).where("tool = 'xz'").count() == 1 and resources.cluster(spark)["parallelism"] >= 1
+
+
+def test_sql_functions(spark):
+    from corpuskiln.functions.registry import register
+
+    names = register(spark)
+    assert "bpe_encode_r50k_base" in names
+    row = spark.sql("SELECT safe_boundary('ab cd') AS b, safe_boundary('...') AS n, hex(u16_pack(array(1, 258))) AS u, cast(bpe_decode_r50k_base(bpe_encode_r50k_base('héllo wörld')) AS string) AS t, cast(decompress_bytes(compress_bytes(encode('abc abc', 'UTF-8'), 'gzip_9'), 'gzip_9') AS string) AS z, utf8_trim(encode('aé', 'UTF-8'), 2) AS e").first()
+    assert tuple(row) == (2, None, "01000201", "héllo wörld", "abc abc", 1)
