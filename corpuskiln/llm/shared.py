@@ -25,6 +25,8 @@ def cut(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     root = spark.conf.get(CHECKPOINT_DIR, None) or context.getConf().get(CHECKPOINT_DIR)
     if root is None:
+        if not context.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that driver and executors share")
         root = "/tmp/corpuskiln-checkpoints"
     path = f"{root.rstrip('/')}/corpuskiln-{uuid.uuid4().hex}"
     df.write.parquet(path)
