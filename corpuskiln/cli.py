@@ -13,7 +13,7 @@ from corpuskiln.operators import archive
 from corpuskiln.operators.packing import leb128_bytes, leb128_ids, u16_bytes, u16_ids
 from corpuskiln.plans import dims, matrix, reports, sweep, verify
 from corpuskiln.session import session
-from corpuskiln.sources import corpus, results
+from corpuskiln.sources import corpus, resources, results
 
 
 def selftest() -> bool:
@@ -53,6 +53,9 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--tier", default="256KB", choices=list(dims.SMALL_TIERS))
     p.add_argument("--profile", default="fast", choices=["fast", "full"])
     p.add_argument("--no-resume", action="store_true")
+    p.add_argument("--row-id", help="run this one cell again, whatever the log says")
+    p.add_argument("--smoke", action="store_true", help="run one cell of each packing, logged as smoke rows")
+    p = one("resources", "show what driver and cluster can do")
     p = one("analyze", "answer the report questions from a log")
     p.add_argument("log")
     one("boundaries", "check that splitting never changes tokens")
@@ -92,26 +95,32 @@ def main(argv: list[str] | None = None) -> int:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
             log = None
-        if log is not None and not args.no_resume:
-            cells = matrix.remaining(cells, log)
+        if args.row_id:
+            cells = cells.where(F.col("row_id") == args.row_id)
+        elif args.smoke:
+            cells = cells.where("backend = 'zstd_12' and tokenizer in ('none', 'r50k_base')")
+        elif log is not None and not args.no_resume:
+            # A smoke row never stands in for its grid cell.
+            cells = matrix.remaining(cells, log.where("cell_kind is distinct from 'smoke'"))
         docs = spark.read.parquet(args.documents)
         members = corpus.tier_members(docs, dims.small_tiers(spark)).where(F.col("corpus_tier") == args.tier)
         stream = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]), "")
         data = docs.join(members.select("doc_id", "ord"), "doc_id").select(F.struct("ord", corpus.record(F.col("text")).alias("r")).alias("x")).agg(F.encode(stream, "UTF-8").alias("data"))
-        measured = sweep.run_cells(cells, data).withColumn("corpus_tier", F.lit(args.tier)).withColumn("cell_kind", F.lit("ratio_grid"))
+        measured = sweep.run_cells(cells, data).withColumn("corpus_tier", F.lit(args.tier)).withColumn("cell_kind", F.lit("smoke" if args.smoke else "ratio_grid"))
         results.append_log(measured, args.log)
     elif args.command == "analyze":
         ranks = F.create_map(*[F.lit(x) for k, t in enumerate([*dims.SMALL_TIERS, *dims.TIERS]) for x in (t, k)])
         rows = results.verified(results.latest(results.read_log(spark, args.log))).withColumn("tier_rank", ranks[F.col("corpus_tier")])
         for title, found in (("gaps", reports.gap_verdicts(rows)), ("packing", reports.packing_effect(rows)), ("best ratios", reports.top(rows, "ratio")), ("fastest", reports.top(rows, "throughput_mbps"))):
             print(f"\n### {title}\n\n{markdown(found)}")
+    elif args.command == "resources":
+        print(json.dumps(resources.snapshot() | resources.cluster(spark), indent=1))
+        print(markdown(resources.tools(spark)))
     elif args.command == "boundaries":
         cases = spark.createDataFrame(verify.adversarial_cases(), "case_name string, text string")
         found = verify.verdict(verify.split_invariance(cases, "r50k_base", 4096, 2048))
         print(markdown(found))
         return 0 if not found.where("outcome = 'failure'").head(1) else 1
-    else:
-        print(json.dumps(vars(args)))
     return 0
 
 

@@ -52,6 +52,11 @@ def number(x: Column, digits: int = 4) -> Column:
     return F.when(x.isNull(), "-").otherwise(F.format_string(f"%.{digits}f", x))
 
 
+def signed(value: Column, percent: Column, unit: str = "%%") -> Column:
+    """A change with its sign beside the relative one: ``+0.1234 (+5.6%)``; ``-`` for null."""
+    return F.when(value.isNull() | percent.isNull(), "-").otherwise(F.format_string(f"%+.4f (%+.1f{unit})", value, percent))
+
+
 def compressor_input(packed: Column, packing: Column, corpus: Column, tokens: Column) -> Column:
     """Bytes handed to the compressor: recorded, or rebuilt where that is exact, else null."""
     return F.coalesce(F.nullif(packed, F.lit(0)), F.when(packing == "raw_utf8", corpus).when((packing == "fixed_u16") & (tokens > 0), tokens * 2))

@@ -14,6 +14,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import functions as F
 
+from corpuskiln.plans.dims import VOCABULARY
+
 STAND_INS = {"r50k_base": "byte_bpe_50k.tiktoken", "p50k_base": "byte_bpe_multi_50k.tiktoken"}
 
 
@@ -36,6 +38,11 @@ def encoder(tokenizer: str):
     return tiktoken.Encoding(tokenizer, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def vocabulary_gap(tokenizer: str) -> int:
+    """Live ids less the planned ones; a stand-in's differs from the role's by its special ids."""
+    return encoder(tokenizer).n_vocab - VOCABULARY[tokenizer]
+
+
 def encode(tokenizer: str, text: str) -> list[int]:
     return encoder(tokenizer).encode_ordinary(text)
 

@@ -90,6 +90,13 @@ def gap_by_tier(spark, sf_dir):
     return _rounded(reports.gaps(_ok(spark, sf_dir)).drop("tier_rank"), "ratio", "gap", "gap_pct")
 
 
+@query(f"WITH {RESULTS} SELECT backend, pipeline, corpus_tier, CASE WHEN gap IS NULL THEN '-' ELSE printf('%+.3f', round(gap, 3)) END AS gap_text FROM gaps")
+def gap_texts(spark, sf_dir):
+    """Gaps as the report writes them."""
+    gap = F.round("gap", 3)
+    return reports.gaps(_ok(spark, sf_dir)).select("backend", "pipeline", "corpus_tier", F.when(gap.isNull(), "-").otherwise(F.format_string("%+.3f", gap)).alias("gap_text"))
+
+
 _VERDICTS = f"""WITH {RESULTS}, ends AS (SELECT backend, pipeline, count(gap) AS tiers, arg_max(gap, tier_rank) FILTER (WHERE gap IS NOT NULL) - arg_min(gap, tier_rank) FILTER (WHERE gap IS NOT NULL) AS t,
  arg_max(gap_pct, tier_rank) FILTER (WHERE gap IS NOT NULL) - arg_min(gap_pct, tier_rank) FILTER (WHERE gap IS NOT NULL) AS p FROM gaps GROUP BY backend, pipeline),
 verdicts AS (SELECT backend, pipeline, tiers, CASE WHEN tiers >= 2 THEN t END AS trend, CASE WHEN tiers >= 2 THEN p END AS trend_pp, CASE WHEN tiers < 2 THEN '-' WHEN p > 0.25 THEN 'WIDENS' WHEN p < -0.25 THEN 'NARROWS' ELSE 'flat' END AS verdict FROM ends)"""
