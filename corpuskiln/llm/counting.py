@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuskiln.llm.shared import texts_of
 from corpuskiln.llm.text import buffers
 from corpuskiln.llm.tokens import load_tokenizer
 
@@ -186,6 +187,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk:
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    return texts_of(docs).mapInArrow(
         count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
     )

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskiln.llm.components import components
-from corpuskiln.llm.shared import cut
+from corpuskiln.llm.shared import bound_batches, cut, texts_of
 from corpuskiln.llm.text import mix64, shingle_hashes, slices, word_hashes
 
 EXTRA, EXTRA_PART = 8, 4
@@ -108,7 +108,7 @@ def features(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     ["doc", "n", "h1", "h2", "listed"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return texts_of(docs).mapInArrow(
         run, "doc long, n int, h1 long, h2 long, listed array<long>"
     )
 
@@ -145,6 +145,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     ["doc", "n", "tokens", "bits"],
                 )
 
+    bound_batches(docs.sparkSession)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     return texts.withColumn("hash", F.xxhash64("doc")).mapInArrow(run, "doc long, n int, tokens array<long>, bits array<long>").where("n > 0")
 

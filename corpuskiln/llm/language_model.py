@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskiln.llm.shared import crc_bucket, cut, partitions
+from corpuskiln.llm.shared import bound_batches, crc_bucket, cut, partitions, texts_of
 from corpuskiln.llm.text import LETTER_BYTES, buffers, mix64, slices, span_hashes, word_spans
 
 CELLS, MARKS, CLUSTERS = 256, 4, 6
@@ -266,6 +266,7 @@ class Model:
 
 def fit(train: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model, and the counts of all training words."""
+    bound_batches(train.sparkSession)
     train = train.select(F.col("text").cast("string").alias("text"))
     counts = cut(word_counts(train))
     classes = class_map(cluster_of_cells(train))
@@ -345,7 +346,7 @@ def _score_parts(docs: DataFrame, model: Model) -> DataFrame:
                     ["doc_id", "digest", "h", "class", "tf", "n_tokens", "n_known", "base", "score"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PARTS)
+    return texts_of(docs).mapInArrow(run, PARTS)
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskiln.llm.shared import crc_bucket
+from corpuskiln.llm.shared import crc_bucket, texts_of
 from corpuskiln.llm.text import LETTER_BYTES, buffers, slices, word_spans
 
 TRAIN_DOCS = 6_000
@@ -164,7 +164,7 @@ def identify(docs: DataFrame, languages: Languages) -> DataFrame:
                     ["doc_id", "lang_pred", "score", "languages"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return texts_of(docs).mapInArrow(
         run, "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>"
     )
 

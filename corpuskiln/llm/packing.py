@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuskiln.llm.shared import cut, hot_split
+from corpuskiln.llm.shared import cut, hot_split, texts_of
 from corpuskiln.llm.tokens import load_byte_bpe
 
 CAPACITY = 2048
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 ["doc_id", "piece", "start", "length", "ids_crc32", "salt"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, PIECES)
+    return texts_of(docs).mapInArrow(encode, PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskiln.llm.shared import crc_bucket
+from corpuskiln.llm.shared import bound_batches, crc_bucket, texts_of
 from corpuskiln.llm.text import buffers, slices, span_hashes, word_spans
 from corpuskiln.llm.training import labelled
 
@@ -157,7 +157,7 @@ def score(docs: DataFrame, space: Space) -> DataFrame:
                 votes = [broadcast.value.vote(term_counts(batch.column(1)[k : k + 1000])) for k in range(0, batch.num_rows, 1000)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(votes))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return texts_of(docs).mapInArrow(
         run, "doc_id long, score double"
     )
 
@@ -182,4 +182,5 @@ def keep_good(docs: DataFrame, space: Space, threshold: float = THRESHOLD, text:
                     votes = broadcast.value.vote(term_counts(part.column(part.schema.get_field_index(text))))
                     yield part.filter(pa.array(votes >= threshold))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

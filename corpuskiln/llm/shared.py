@@ -11,6 +11,26 @@ from pyspark.sql import functions as F
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 512
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the rows of an Arrow batch, for this session, to what texts allow.
+
+    A batch holds whole texts, in the JVM and in the Python worker; Spark bounds it by rows
+    alone, and its default of 10,000 rows is tens of megabytes of ordinary documents.
+    """
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= TEXT_ROWS:
+        spark.conf.set(ARROW_ROWS, str(TEXT_ROWS))
+
+
+def texts_of(docs: DataFrame, *more: str) -> DataFrame:
+    """The id (as long) and text (as string) of documents, for tasks that read batches of them."""
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,10 +7,27 @@ rolling sum, so no Python string is made for a word. Null texts have no words.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
 _SLICE = 1 << 20
+_M_MMAP_THRESHOLD = -3  # of mallopt()
+
+
+def _give_back_freed_arrays() -> None:
+    """Keeps glibc from raising the size from which freed memory goes back to the system.
+
+    Workers live on from task to task; else each keeps the largest arrays it ever had.
+    """
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(_M_MMAP_THRESHOLD, 4 << 20)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to set
+
+
+_give_back_freed_arrays()
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 WORD_BYTES = ~_SPACE

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskiln.llm.shared import crc_bucket
+from corpuskiln.llm.shared import bound_batches, crc_bucket, texts_of
 from corpuskiln.llm.text import LETTER_BYTES, buffers, slices, span_hashes, word_spans
 from corpuskiln.llm.training import labelled
 
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                     ["doc_id", "score", "offending"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORES)
+    return texts_of(docs).mapInArrow(run, SCORES)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = TRAIN_DOCS) -> DataFrame:
@@ -224,4 +224,5 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
                 x = instances(batch.column(batch.schema.get_field_index(text)), model.features)
                 yield batch.filter(pa.array(model.document_scores(x, model.sentence_scores(x)) < threshold))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
