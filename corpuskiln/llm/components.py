@@ -22,18 +22,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges are stars: no node has two centres, and no centre has one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.where("up > 1 or (up > 0 and down > 0)").head(1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is its least node.
 
-    Rounds of a large and a small star end when nothing changes; nodes without a link
-    other than to themselves don't appear. Each round is cut into the shared folder.
+    Rounds of a large and a small star end when all edges are stars around their least
+    node; nodes without a link other than to themselves don't appear. Each round is cut
+    into the shared folder.
     """
-    oriented = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, before = cut(oriented), None
-    while True:
-        seen = now.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("h")).first()
-        if seen == before or not seen["n"]:
-            break
-        before, now = seen, cut(_small_star(_large_star(now)))
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not _settled(now):
+        now = cut(_small_star(_large_star(now)))
     members = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return members.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
