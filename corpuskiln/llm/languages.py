@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from corpuskiln.llm.shared import crc_bucket, texts_of
 from corpuskiln.llm.text import LETTER_BYTES, buffers, slices, word_spans
+from corpuskiln.llm.training import FIT_TEXT_BYTES
 
 TRAIN_DOCS = 6_000
 CODES = 1 << 16
@@ -136,10 +137,11 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS, modulus: int = 4, held: int =
     if not found:
         return Languages([], np.zeros((CODES, 0), np.float32))
     cells = 1 << 20
+    # Shares are of all usable documents; the few too long to fit on only make a sample smaller.
     rows = [(r["lang"], min(cells, int(cells * most / len(found) / r["count"]) + 1)) for r in found]
     shares = docs.sparkSession.createDataFrame(rows, "lang string, share long")
     table = (
-        usable.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text"))
+        usable.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_TEXT_BYTES).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text"))
         .join(F.broadcast(shares), "lang")
         .where(F.pmod(F.xxhash64("doc_id"), F.lit(cells)) < F.col("share"))
         .select("doc_id", "lang", "text")

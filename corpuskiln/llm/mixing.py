@@ -37,6 +37,7 @@ BLOCK_DOCS = 64
 MOST_BLOCKS = 1 << 24
 SHARD_WORDS = 1 << 18
 PLAN_CELLS = 1 << 22
+SMALL_SOURCES = 1 << 17
 _RUN = 1024
 
 
@@ -113,6 +114,8 @@ def assign(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ratio: float = R
     sized = cut(keyed)
     found = sized.groupBy("skey").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).collect()
     found.sort(key=lambda r: (r["skey"] == "-", r["skey"]))
+    # A table with a row for each source is sent to all tasks only while it is small.
+    sent = F.broadcast if len(found) <= SMALL_SOURCES else (lambda df: df)
     words = [r["words"] for r in found]
     targets = water_fill(words, [weights[k % len(weights)] for k in range(len(found))], ratio * sum(words), cap)
     block_docs = max(BLOCK_DOCS, sum(r["n"] for r in found) // MOST_BLOCKS)
@@ -123,11 +126,11 @@ def assign(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ratio: float = R
         "skey string, source_size long, target double, n_blocks long, passes int, rest double",
     )
     dealt = cut(
-        sized.join(F.broadcast(sources.select("skey", "n_blocks")), "skey").withColumn(
+        sized.join(sent(sources.select("skey", "n_blocks")), "skey").withColumn(
             "block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "n_blocks")
         ).drop("n_blocks")
     )
-    totals = dealt.groupBy("skey", "block").agg(F.sum("size").alias("words")).join(F.broadcast(sources), "skey")
+    totals = dealt.groupBy("skey", "block").agg(F.sum("size").alias("words")).join(sent(sources), "skey")
     turned = totals.withColumn("turn", F.pmod(F.col("block") * 2654435761 + seed % 65536, "n_blocks")).withColumn(
         "run", F.floor(F.col("turn") / _RUN)
     )
@@ -169,13 +172,13 @@ def assign(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ratio: float = R
     )
     # One block for each source at most: about BLOCK_DOCS rows of two integers each.
     filled = (
-        dealt.join(F.broadcast(edge), ["skey", "block"])
+        dealt.join(sent(edge), ["skey", "block"])
         .groupBy("skey", "block")
         .agg(items.alias("items"), *[F.first(c).alias(c) for c in ("gap", "rounds", "last")])
         .withColumn("item", F.explode(F.arrays_zip("items", _fill_gap(F.col("items"), F.col("gap")).alias("extra"))))
         .select("item.items.doc_id", "skey", "item.items.size", "block", "item.extra", "rounds", "last")
     )
-    both = plain.unionByName(filled).join(F.broadcast(sources.select("skey", "source_size", "target")), "skey")
+    both = plain.unionByName(filled).join(sent(sources.select("skey", "source_size", "target")), "skey")
     return both.select(
         "doc_id", "size", "source_size", "target",
         F.when(F.col("extra"), F.concat("rounds", F.array("last"))).otherwise(F.col("rounds")).alias("placements"),

@@ -10,11 +10,15 @@ from corpuskiln.llm.shared import crc_bucket
 
 
 _CELLS = 1 << 24
+#: Longer texts aren't fitted on (they are scored like all others), so a sample is bounded in bytes too.
+FIT_TEXT_BYTES = 1 << 18
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, modulus: int, held: int) -> pa.Table:
     """(doc_id, text, label) of about ``most`` labelled documents at most, outside the held-out part.
 
+    Texts of more than ``FIT_TEXT_BYTES`` are left out.
+
     Which ones is decided by a hash of the id below a bound, so no task sorts the labels.
     Ids with null or contradicting labels are left out.
     """
@@ -26,6 +30,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, modulus:
     )
     bound = _CELLS * most // max(1, usable.count())
     chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(_CELLS)) < bound).select("doc_id", F.col("label").cast("int").alias("label"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_TEXT_BYTES)
+    texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # About ``most`` rows of two integers.
     return texts.join(F.broadcast(chosen), "doc_id").toArrow().sort_by([("doc_id", "ascending")])
