@@ -158,7 +158,7 @@ def identify(docs: DataFrame, languages: Languages) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 19):
                 names, top, shares = broadcast.value.infer(batch.column(1))
                 parts = [[{"lang": broadcast.value.names[k], "share": float(row[k])} for k in np.flatnonzero(row > 0)] for row in shares]
                 yield pa.RecordBatch.from_arrays(

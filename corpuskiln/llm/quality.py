@@ -153,8 +153,8 @@ def score(docs: DataFrame, space: Space) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
-                votes = [broadcast.value.vote(term_counts(batch.column(1)[k : k + 1000])) for k in range(0, batch.num_rows, 1000)]
+            for batch in slices(whole, "text", 1 << 19):
+                votes = [broadcast.value.vote(term_counts(batch.column(1)[k : k + 250])) for k in range(0, batch.num_rows, 250)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(votes))], ["doc_id", "score"])
 
     return texts_of(docs).mapInArrow(
@@ -176,9 +176,9 @@ def keep_good(docs: DataFrame, space: Space, threshold: float = THRESHOLD, text:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, text, 2 << 20):
-                for low in range(0, batch.num_rows, 1000):
-                    part = batch.slice(low, 1000)
+            for batch in slices(whole, text, 1 << 19):
+                for low in range(0, batch.num_rows, 250):
+                    part = batch.slice(low, 250)
                     votes = broadcast.value.vote(term_counts(part.column(part.schema.get_field_index(text))))
                     yield part.filter(pa.array(votes >= threshold))
 

@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 19):
                 x = instances(batch.column(1), model.features)
                 sentences = model.sentence_scores(x)
                 found: list[list] = [[] for _ in range(batch.num_rows)]
@@ -220,7 +220,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, 1 << 19):
                 x = instances(batch.column(batch.schema.get_field_index(text)), model.features)
                 yield batch.filter(pa.array(model.document_scores(x, model.sentence_scores(x)) < threshold))
 
