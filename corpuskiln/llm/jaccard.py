@@ -11,6 +11,8 @@ gives the indexes below; every candidate is verified on the whole sets.
    that more than ``FREQUENT`` lists hold is *frequent* and goes to the end of the order.
 3. *Plain* documents still have a whole prefix of rare tokens in their list: they are
    indexed by single rare tokens, and a pair must share as many as the extension promises.
+   A list is the whole set at most, so it promises no more tokens than the set needs, and
+   one fewer for each frequent token in it.
 4. The other documents (*crowded*: most of their tokens are frequent, as in large groups of
    near copies) are met with plain ones by single rare tokens, and with each other in an
    order of their own (tokens rare among them first): by single tokens that are rare among
@@ -90,6 +92,11 @@ def _sql(form: str, size: str, percent: int) -> Column:
     return F.expr(f"cast({need} as int)" if form == "needed" else f"cast({EXTRA} + ({size} - {need} + 1) div {EXTRA_PART} as int)")
 
 
+def _promise(n_frequent: Column | int, percent: int) -> Column:
+    """Rare tokens that a set shares with any similar one, with so many frequent tokens in its list."""
+    return F.greatest(F.lit(1), F.least(_sql("needed", "n", percent), _sql("promised", "n", percent)) - n_frequent).cast("int")
+
+
 def features(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Set size, digest of the set, and the extended prefix in hash order."""
 
@@ -261,24 +268,21 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     known = cut(postings.join(counts, "token"))
 
     crowd = known.groupBy("doc", "n").agg(F.count_if(F.col("count") > FREQUENT).alias("n_frequent")).where("n_frequent > 0")
-    left = _sql("promised", "n", percent) - F.col("n_frequent")
     length = F.least(F.col("n"), F.col("n") - _sql("needed", "n", percent) + _sql("promised", "n", percent)) - F.col("n_frequent")
     crowd = cut(
-        crowd.withColumn("promise", F.greatest(F.lit(1), left).cast("int"))
+        crowd.withColumn("promise", _promise(F.col("n_frequent"), percent))
         .withColumn("crowded", length < F.col("n") - _sql("needed", "n", percent) + 1)
     )
     crowded = crowd.where("crowded").select("doc")
 
     # Single rare tokens of plain documents.
     rare = known.where(F.col("count") <= FREQUENT).join(crowd.select("doc", "promise", "crowded"), "doc", "left")
-    rare = cut(rare.where(~F.coalesce("crowded", F.lit(False))).select("token", "doc", "n", F.coalesce("promise", _sql("promised", "n", percent)).alias("promise")))
-    # No more can be shared than a set needs at all.
-    promise = lambda x: F.least(f"{x}.promise", _sql("needed", f"{x}.n", percent))
+    rare = cut(rare.where(~F.coalesce("crowded", F.lit(False))).select("token", "doc", "n", F.coalesce("promise", _promise(0, percent)).alias("promise")))
     x, y = (rare.select("token", F.struct("doc", "n", "promise").alias(c)) for c in "xy")
     plain = (
         x.join(y, "token").where((F.col("x.doc") < F.col("y.doc")) & _sizes_fit(F.col("x.n"), F.col("y.n"), percent))
         .groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.first(F.least(promise("x"), promise("y"))).alias("promise"))
+        .agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("x.promise", "y.promise")).alias("promise"))
         .where("shared >= promise").select("a", "b")
     )
     plain = cut(plain)
@@ -294,12 +298,12 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     own_rare = cut(own_rare.where(F.col("at") <= within).select("token", "doc", "n"))
     unseen = own_rare.select("token").distinct().join(counts, "token", "left_anti")
     missed = postings.join(crowded, "doc", "left_anti").join(unseen, "token", "left_semi").join(crowd.select("doc", "promise"), "doc", "left")
-    plain_rare = rare.unionByName(missed.select("token", "doc", "n", F.coalesce("promise", _sql("promised", "n", percent)).alias("promise")))
-    x, y = plain_rare.select("token", F.struct("doc", "n", "promise").alias("x")), own_rare.select("token", F.struct("doc", "n").alias("y"))
+    plain_rare = rare.unionByName(missed.select("token", "doc", "n", F.coalesce("promise", _promise(0, percent)).alias("promise")))
+    x, y = plain_rare.select("token", F.struct("doc", "n", "promise").alias("x")), own_rare.select("token", F.struct("doc", "n", _promise(0, percent).alias("promise")).alias("y"))
     mixed = (
         x.join(y, "token").where(_sizes_fit(F.col("x.n"), F.col("y.n"), percent))
         .groupBy(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.first(F.least(promise("x"), _sql("needed", "y.n", percent))).alias("promise"))
+        .agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("x.promise", "y.promise")).alias("promise"))
         .where("shared >= promise").select("a", "b")
     )
     mixed = cut(mixed)

@@ -53,6 +53,23 @@ def test_components_are_brute_force_s(spark, docs_of, width, percent, length, ed
     assert found == brute(rows, width, percent)
 
 
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
+def test_short_documents_behind_a_common_opening(spark, docs_of, width, percent):
+    rng = random.Random(width)
+    vocabulary = [f"w{k}" for k in range(400)]
+    values = []
+    for shared in (width, width + 1, width + 3):
+        opening = [rng.choice(vocabulary) for _ in range(shared)]
+        for size in range(width + 3, width + 11):
+            for _ in range(8):
+                words = opening + [rng.choice(vocabulary) for _ in range(max(1, size - shared))]
+                values += [" ".join(words), " ".join(words[:-1])]
+    rng.shuffle(values)
+    rows = list(enumerate(values))
+    found = {r[0]: (r[1], r[2]) for r in jaccard.join_components(docs_of(rows), width, percent).collect()}
+    assert found == brute(rows, width, percent)
+
+
 def test_odd_rows(odd):
     found = jaccard.join_components(odd, 4, 85).collect()
     assert len(found) == 15
