@@ -4,8 +4,9 @@ Method: words are maximal runs without white space. A run of ``K`` words is an a
 the smallest hash of its inner runs of ``S`` words lies at its first or last place. That
 depends on nothing outside the run, so equal passages give equal anchors wherever they
 stand. The fingerprint lists the anchors' 31-bit hashes in text order; the likeness of two
-fingerprints is the Dice coefficient of their distinct anchors. Texts with fewer than
-``K`` words use their single words and pairs.
+fingerprints is the Dice coefficient of their distinct anchors. An anchor is certain only
+from ``2 K - S - 1`` words on; shorter texts list their single words and pairs too, after
+their anchors, so only texts without words have an empty fingerprint.
 
 The next document (descending id, after the last the first) comes from a window within
 ranges of ids; the range bounds are quantiles, so ranges stay even whatever the ids are,
@@ -34,7 +35,7 @@ def _let(value: Column, use) -> Column:
 
 
 def anchors(text: Column, k: int = K) -> Column:
-    """31-bit hashes of the text's closed syncmers (inner runs of two words), in order."""
+    """31-bit hashes of the text's closed syncmers (inner runs of two words), in order; of a short text its words and pairs too."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(_TRIM))
     words = F.transform(F.split(trimmed, _SPACES), lambda w: F.xxhash64(w))
     short = lambda x: F.hash(x).bitwiseAND(0x7FFFFFFF)
@@ -47,9 +48,9 @@ def anchors(text: Column, k: int = K) -> Column:
         def of_pairs(p: Column) -> Column:
             edge = lambda i: F.least(p[i - 1], p[i + window - 2]) == F.array_min(F.slice(p, i, window))
             places = F.filter(F.sequence(F.lit(1), n - k + 1), edge)
-            return F.when(n >= k, F.transform(places, lambda i: short(F.slice(h, i, k)))).otherwise(
-                F.concat(F.transform(h, short), F.transform(p, short))
-            )
+            runs = F.transform(places, lambda i: short(F.slice(h, i, k)))
+            small = F.concat(F.transform(h, short), F.transform(p, short))
+            return F.when(n < k, small).when(n < 2 * k - S - 1, F.concat(runs, small)).otherwise(runs)
 
         return _let(pairs, of_pairs)
 

@@ -32,6 +32,16 @@ def test_anchors_are_closed_syncmers(spark):
     assert a and inside == a  # what stands around a passage changes none of its anchors
 
 
+def test_short_texts_have_anchors(spark):
+    rng = random.Random(9)
+    rows = [(n, " ".join(f"t{n}x{k}w{j}" for j in range(n)), " ".join(f"t{n}x{k}w{j}" if j < n // 2 else f"other{rng.random()}" for j in range(n))) for n in range(1, 16) for k in range(30)]
+    df = spark.createDataFrame(rows, "n int, text string, edited string")
+    a, b = fingerprints.anchors(df.text), fingerprints.anchors(df.edited)
+    found = df.select("n", a.alias("a"), fingerprints.likeness(a, b).alias("near")).collect()
+    assert all(r["a"] for r in found) and len({tuple(r["a"]) for r in found}) == len(rows)
+    assert all(0 < r["near"] < 1 for r in found if 2 <= r["n"] < 13)
+
+
 def test_odd_rows(odd):
     found = fingerprints.edit_likeness(odd).collect()
     assert len(found) == 15 and all(r["fingerprint"] == "" and r["n_chars"] == 0 for r in found if r["doc_id"] in (1, 2))
