@@ -7,9 +7,11 @@ whose dot product with it exceeds the cap's threshold: level by level, a partial
 codewords goes on only while the best rest can still lift it over the threshold. Vectors
 that share a cap (and a label) are compared by exact cosine in double precision.
 
-The threshold and the codebooks follow from the number of vectors: a cap holds about
-``CAP_ROWS`` of the largest label's vectors, and there are so many caps that two vectors at
-the wanted cosine share ``SHARED`` of them on average, so that few pairs are missed.
+The threshold follows from the number of vectors and their length: a cap holds about
+``CAP_ROWS`` of the largest label's vectors, by the exact tail of the sphere. Caps that share
+codewords are missed together, so there are several rotations with codebooks of their own,
+of about ``SHARED`` common caps each: as many as it takes until at most ``MISSED`` of
+``TRIALS`` seeded random pairs at exactly the wanted cosine have no cap in common.
 
 Equal vectors of a label are folded before (their copies are weights). A pair is counted in
 the first cap that it shares alone; a cap's rows beyond ``BLOCK`` are dealt to blocks that
@@ -37,30 +39,65 @@ from corpuskiln.llm.shared import cut, partitions
 
 THRESHOLD = 0.93
 CAP_ROWS = 64
-SHARED = 16.0
+SHARED = 4.0
+TRIALS, MISSED = 2048, 2
 BLOCK = 256
 SEED = 41
 
 
-def cap_plan(most: int, cosine: float, cap_rows: int = CAP_ROWS, shared: float = SHARED) -> tuple[float, int, int]:
-    """Threshold in standard deviations, blocks, and codewords of a block."""
-    normal = NormalDist()
+@lru_cache(maxsize=64)
+def cap_plan(most: int, cosine: float, length: int, cap_rows: int = CAP_ROWS, shared: float = SHARED) -> tuple[float, int, int, int]:
+    """Threshold in standard deviations, blocks, codewords of a block, and rotations."""
     share = min(0.25, cap_rows / max(1, most))
-    z = normal.inv_cdf(1 - share)
+    # The angle between a random vector and a direction has density sin^(length - 2).
+    angle = np.linspace(0, np.pi, 200_001)
+    tail = np.cumsum(np.sin(angle) ** max(0, length - 2))
+    z = float(np.sqrt(length) * np.cos(angle[max(1, int(np.searchsorted(tail, share * tail[-1])))]))
+    normal = NormalDist()
     grid = np.linspace(z, z + 8, 4001)
     density = np.exp(-grid * grid / 2) / np.sqrt(2 * np.pi)
     spread = max(np.sqrt(1 - cosine * cosine), 1e-6)
     beyond = np.array([1 - normal.cdf(float(x)) for x in (z - cosine * grid) / spread])
-    both = float(np.sum(density * beyond) * (grid[1] - grid[0])) / share
+    # Only a first size, by Gaussian tails; the rotations make up for what it lacks.
+    both = float(np.sum(density * beyond) / np.sum(density))
     caps = shared / max(both, 1e-6) / share
     blocks = 2 if caps < 1e6 else 3 if caps < 1e9 else 4
-    return z, blocks, int(np.ceil(caps ** (1 / blocks)))
+    words = int(np.ceil(caps ** (1 / blocks)))
+    if length < 2:
+        return z, blocks, words, 1
+    x, y = random_pairs(TRIALS, length, cosine, SEED)
+    turn = 0
+    while len(x) > MISSED:
+        apart = ~_meet(x, y, z, blocks, words, turn)
+        x, y, turn = x[apart], y[apart], turn + 1
+    return z, blocks, words, turn
+
+
+def random_pairs(n: int, length: int, cosine: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of random unit vectors at exactly this cosine."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    x, y = rng.standard_normal((2, n, length))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= np.sum(x * y, axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return x, cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * y
 
 
-@lru_cache(maxsize=8)
-def _codes(length: int, blocks: int, words: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The rotation, and each block's codewords, from the seed alone."""
-    rng = np.random.Generator(np.random.PCG64(SEED))
+def _meet(x: np.ndarray, y: np.ndarray, z: float, blocks: int, words: int, turn: int) -> np.ndarray:
+    """Whether each pair has a cap of this rotation in common."""
+    out = np.zeros(len(x), bool)
+    for low in range(0, len(x), 128):
+        one, two = (np.stack(decode(v[low : low + 128], z, blocks, words, turn), axis=1) for v in (x, y))
+        both = np.concatenate([one, two])
+        rows, n = np.unique(both, axis=0, return_counts=True)
+        out[low + rows[n > 1, 0]] = True
+    return out
+
+
+@lru_cache(maxsize=64)
+def _codes(length: int, blocks: int, words: int, turn: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The rotation, and each block's codewords, from the seed and the turn alone."""
+    rng = np.random.Generator(np.random.PCG64(SEED + turn))
     rotation, _ = np.linalg.qr(rng.standard_normal((length, length)))
     books = []
     for part in np.array_split(np.arange(length), min(blocks, length)):
@@ -69,10 +106,10 @@ def _codes(length: int, blocks: int, words: int) -> tuple[np.ndarray, list[np.nd
     return rotation, books
 
 
-def decode(vectors: np.ndarray, z: float, blocks: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+def decode(vectors: np.ndarray, z: float, blocks: int, words: int, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(row, direction) of every direction over the threshold, for unit vectors."""
     length = vectors.shape[1]
-    rotation, books = _codes(length, blocks, words)
+    rotation, books = _codes(length, blocks, words, turn)
     turned = vectors @ rotation
     parts = np.array_split(np.arange(length), len(books))
     scores = [turned[:, part] @ book.T for part, book in zip(parts, books)]
@@ -87,6 +124,12 @@ def decode(vectors: np.ndarray, z: float, blocks: int, words: int) -> tuple[np.n
     return row, code
 
 
+def decode_turns(vectors: np.ndarray, z: float, blocks: int, words: int, turns: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, direction) over all rotations; directions of different ones differ."""
+    found = [decode(vectors, z, blocks, words, turn) for turn in range(turns)]
+    return np.concatenate([row for row, _ in found]), np.concatenate([code + turn * words**blocks for turn, (_, code) in enumerate(found)])
+
+
 def _valid(column) -> F.Column:
     """Whether a vector can be compared: finite, not null inside, not all zero."""
     finite = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -175,8 +218,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cap_rows:
         usable.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(SEED), "embedding")).withColumn("length", F.size("embedding"))
     )
     folded = cut(hashed.groupBy("label", "length", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    most = folded.groupBy("label", "length").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    z, blocks, words = cap_plan(most, threshold, cap_rows, shared)
+    # A row for each length of vectors.
+    most = folded.groupBy("label", "length").count().groupBy("length").agg(F.max("count").alias("n")).collect()
+    plans = {r["length"]: cap_plan(r["n"], threshold, r["length"], cap_rows, shared) for r in most}
     reps = hashed.join(folded.select(F.col("rep").alias("vec_id"), "copies", "h1"), ["vec_id", "h1"]).dropDuplicates(["vec_id", "h1"])
 
     def decoded(batches):
@@ -189,7 +233,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cap_rows:
                     rows = np.flatnonzero(lengths == length)
                     x = part.column(1).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
                     x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    row, code = decode(x, z, blocks, words)
+                    row, code = decode_turns(x, *plans[int(length)])
                     order = np.lexsort((code, row))
                     cuts = np.searchsorted(row[order], np.arange(len(rows) + 1))
                     for k, r in enumerate(rows):

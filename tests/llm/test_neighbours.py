@@ -48,6 +48,17 @@ def test_decoding_lists_every_cap_over_the_threshold():
         assert set(zip(row.tolist(), code.tolist())) == set(zip(*(a.tolist() for a in np.nonzero(total >= 1.2 / np.sqrt(12) * np.sqrt(len(books)) - 1e-12))))
 
 
+def test_few_pairs_at_the_threshold_have_no_common_cap():
+    for most, length in ((10_000, 64), (65_000, 64), (200_000, 64), (200_000, 8)):
+        x, y = neighbours.random_pairs(400, length, 0.93, 77)
+        plan = neighbours.cap_plan(most, 0.93, length)
+        met = set()
+        for low in range(0, 400, 50):
+            one, two = (set(zip(*(a.tolist() for a in neighbours.decode_turns(v[low : low + 50], *plan)))) for v in (x, y))
+            met |= {low + row for row, _ in one & two}
+        assert len(met) >= 396
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(500, 560)] + [(900, 900)]
