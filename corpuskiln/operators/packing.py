@@ -6,7 +6,7 @@ Arrow UDFs do it with numpy; ``*_hex`` are twins in JVM expressions.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,29 +64,52 @@ PACK = {"leb128": leb128_bytes, "fixed_u16": u16_bytes}
 UNPACK = {"leb128": leb128_ids, "fixed_u16": u16_ids}
 
 
-@F.pandas_udf(T.BinaryType())
-def leb128_pack(ids: pd.Series) -> pd.Series:
-    return ids.map(leb128_bytes)
+def _packed(ids: pa.Array, pack, widths) -> pa.Array:
+    """All rows packed at once, cut by the bytes that each row's ids take; a null list is empty."""
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    edges = np.append(0, np.cumsum(ids.value_lengths().fill_null(0).to_numpy()))
+    bytes_before = np.append(0, np.cumsum(widths(flat)))
+    data, where = pack(flat), bytes_before[edges]
+    return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(where.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
 
-@F.pandas_udf(T.BinaryType())
-def u16_pack(ids: pd.Series) -> pd.Series:
-    return ids.map(u16_bytes)
+@F.arrow_udf(T.BinaryType())
+def leb128_pack(ids: pa.Array) -> pa.Array:
+    return _packed(ids, leb128_bytes, lambda x: 1 + (x > 0x7F) + (x > 0x3FFF))
 
 
-def _unpacked(data: pd.Series, unpack) -> pd.DataFrame:
-    rows = [unpack(bytes(x)) for x in data]
-    return pd.DataFrame({"ids": [ids.astype(np.int64) for ids, _ in rows], "leftover": [rest for _, rest in rows]})
+@F.arrow_udf(T.BinaryType())
+def u16_pack(ids: pa.Array) -> pa.Array:
+    return _packed(ids, u16_bytes, lambda x: np.full(len(x), 2))
 
 
-@F.pandas_udf(_UNPACKED)
-def leb128_unpack(data: pd.Series) -> pd.DataFrame:
-    return _unpacked(data, leb128_ids)
+def _rows_unpacked(ids: list[np.ndarray], left: list[bytes]) -> pa.Array:
+    flat = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
+    return pa.StructArray.from_arrays([lists, pa.array(left, pa.binary())], ["ids", "leftover"])
 
 
-@F.pandas_udf(_UNPACKED)
-def u16_unpack(data: pd.Series) -> pd.DataFrame:
-    return _unpacked(data, u16_ids)
+@F.arrow_udf(_UNPACKED)
+def leb128_unpack(data: pa.Array) -> pa.Array:
+    """Rows that end with a whole id, as most do, are read at once and cut by how many ids each ends."""
+    values = data.fill_null(b"").cast(pa.large_binary())
+    where = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    raw = np.frombuffer(values.buffers()[2] or b"", np.uint8)[where[0] : where[-1]]
+    where = where - where[0]
+    last = np.append(raw, np.uint8(0))[np.maximum(where[1:] - 1, 0)]
+    if ((last < 0x80) | (where[1:] == where[:-1])).all():
+        ids, _ = leb128_ids(raw.tobytes())
+        edges = np.append(0, np.cumsum(raw < 0x80))[where]
+        lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.astype(np.int64)))
+        return pa.StructArray.from_arrays([lists, pa.array([b""] * len(data), pa.binary())], ["ids", "leftover"])
+    rows = [leb128_ids(x.as_py()) for x in values]
+    return _rows_unpacked([ids for ids, _ in rows], [rest for _, rest in rows])
+
+
+@F.arrow_udf(_UNPACKED)
+def u16_unpack(data: pa.Array) -> pa.Array:
+    rows = [u16_ids(x.as_py() or b"") for x in data]
+    return _rows_unpacked([ids for ids, _ in rows], [rest for _, rest in rows])
 
 
 def leb128_width(x: Column) -> Column:

@@ -8,14 +8,19 @@ can't be run here, and say so.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import re
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpuskiln.plans.dims import VOCABULARY
 
+#: The matcher of the pattern recurses once for each white-space character; from about a
+#: million on its stack overflows. Longer runs than this are encoded beside the pattern.
+LONG_RUN = 1 << 14
+_RUN = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}")
 STAND_INS = {"r50k_base": "byte_bpe_50k.tiktoken", "p50k_base": "byte_bpe_multi_50k.tiktoken"}
 
 
@@ -43,23 +48,62 @@ def vocabulary_gap(tokenizer: str) -> int:
     return encoder(tokenizer).n_vocab - VOCABULARY[tokenizer]
 
 
-def encode(tokenizer: str, text: str) -> list[int]:
-    return encoder(tokenizer).encode_ordinary(text)
+def encode_with(own, text: str) -> np.ndarray:
+    """Ids of a text by a ``tiktoken`` encoder whose pattern ends in ``\\s+(?!\\S)|\\s+``.
+
+    Before a word such a run is one piece up to its last character, which goes with what
+    follows; at the end of a text it is one piece. So long runs need no matching.
+    """
+    if len(text) < LONG_RUN or not (runs := [m.span() for m in _RUN.finditer(text)]):
+        return own.encode_to_numpy(text)
+    parts, at = [], 0
+    for start, end in runs:
+        stop = end if end == len(text) else end - 1
+        parts += [own.encode_to_numpy(text[at:start]), np.asarray(own._encode_single_piece(text[start:stop]), np.uint32)]
+        at = stop
+    return np.concatenate([*parts, own.encode_to_numpy(text[at:])])
+
+
+def encode(tokenizer: str, text: str) -> np.ndarray:
+    return encode_with(encoder(tokenizer), text)
 
 
 def decode(tokenizer: str, ids) -> bytes:
     """Bytes, never text: a batch may end within a character."""
-    return encoder(tokenizer).decode_bytes(list(ids))
+    return encoder(tokenizer).decode_bytes(ids.tolist() if isinstance(ids, np.ndarray) else list(ids))
+
+
+def _lists(parts: list[np.ndarray], kind: type) -> pa.ListArray:
+    """One Arrow list for each part, from a single buffer."""
+    flat = np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat))
+
+
+def rows_of(lists: pa.Array) -> list[np.ndarray]:
+    """The rows of an Arrow list column as arrays; null is empty."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    cuts = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+    return np.split(flat, cuts[:-1]) if len(cuts) else []
 
 
 def bpe_encode(tokenizer: str):
     """A column function: text -> ids."""
 
-    @F.pandas_udf("array<int>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def run(texts: pa.Array) -> pa.Array:
+        own = encoder(tokenizer)
+        return _lists([encode_with(own, t.as_py() or "") for t in texts], np.int32)
+
+    return run
+
+
+def bpe_count(tokenizer: str):
+    """A column function: text -> number of ids, which stay in the worker."""
+
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
         own = encoder(tokenizer)
-        for texts in parts:
-            yield texts.map(lambda t: own.encode_ordinary(t or ""))
+        return pa.array([len(encode_with(own, t.as_py() or "")) for t in texts], pa.int64())
 
     return run
 
@@ -67,11 +111,10 @@ def bpe_encode(tokenizer: str):
 def bpe_decode(tokenizer: str):
     """A column function: ids -> bytes."""
 
-    @F.pandas_udf("binary")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def run(ids: pa.Array) -> pa.Array:
         own = encoder(tokenizer)
-        for ids in parts:
-            yield ids.map(lambda x: own.decode_bytes([int(i) for i in x]))
+        return pa.array([own.decode_bytes(x.tolist()) for x in rows_of(ids)], pa.binary())
 
     return run
 
@@ -79,10 +122,9 @@ def bpe_decode(tokenizer: str):
 def bpe_decode_each(tokenizer: str):
     """A column function: ids -> the bytes of each."""
 
-    @F.pandas_udf("array<binary>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<binary>")
+    def run(ids: pa.Array) -> pa.Array:
         own = encoder(tokenizer)
-        for ids in parts:
-            yield ids.map(lambda x: [own.decode_single_token_bytes(int(i)) for i in x])
+        return pa.array([own.decode_tokens_bytes(x.tolist()) for x in rows_of(ids)], pa.list_(pa.binary()))
 
     return run
