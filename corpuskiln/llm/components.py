@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskiln.llm.shared import cut
+from corpuskiln.llm.shared import cut, discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,6 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not _settled(now):
-        now = cut(_small_star(_large_star(now)))
+        before, now = now, cut(_small_star(_large_star(now)))
+        discard(before)
     members = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return members.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

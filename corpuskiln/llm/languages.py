@@ -4,16 +4,19 @@ Method: every word (a run of letters) is a draw from a mixture of languages; its
 in a language is the product of its byte-trigram probabilities, tempered because trigrams
 overlap. Expectation-maximisation estimates a document's language proportions. Which
 languages a document holds is chosen by penalised likelihood: the best single language
-against the two and three strongest, each further language costing ``PENALTY`` times the
-log of the number of words. The prediction is the language with the largest proportion in
+against the two strongest, then three and so on as long as the penalised likelihood rises,
+each further language costing ``PENALTY`` times the log of the number of words. The prediction is the language with the largest proportion in
 the chosen set, and that proportion is the score.
 
 The trigram tables come from at most about ``TRAIN_DOCS`` documents (dealt evenly among the
-languages, by a hash of the id), a documented bound; they hold ``CODES`` numbers a language.
+languages, by a hash of the id) of ``FIT_BYTES`` in all, a documented bound; they hold
+``CODES`` numbers a language. More than ``MOST_LANGUAGES`` values of ``lang`` are refused,
+since then the column names no languages.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; documents
 with a null ``lang`` aren't learned from; without any language to learn every document is
-``und``; repeated rows are scored each; an empty table gives no rows; extra columns are not
+``und``; of languages with equal shares the first by name is predicted; a very long text is
+read whole, in a slice of its own; repeated rows are scored each; an empty table gives no rows; extra columns are not
 looked at.
 """
 
@@ -28,9 +31,10 @@ from pyspark.sql import functions as F
 
 from corpuskiln.llm.shared import crc_bucket, texts_of
 from corpuskiln.llm.text import LETTER_BYTES, buffers, slices, word_spans
-from corpuskiln.llm.training import FIT_TEXT_BYTES
+from corpuskiln.llm.training import fetch
 
 TRAIN_DOCS = 6_000
+MOST_LANGUAGES = 1024
 CODES = 1 << 16
 TEMPER = 0.5
 PENALTY = 1.5
@@ -86,15 +90,19 @@ class Languages:
         best = single.max(1) - PENALTY * np.log(words + 1.0)
         chosen = np.zeros((len(rows), kinds))
         chosen[np.arange(len(rows)), order[:, 0]] = 1
-        for k in (2, 3):
-            if k > kinds:
+        growing = np.arange(len(rows))
+        for k in range(2, kinds + 1):
+            if not len(growing):
                 break
-            allowed = np.zeros((len(rows), kinds))
-            np.put_along_axis(allowed, order[:, :k], 1 / k, axis=1)
-            weights, fit = self._mix(likely, begins, owner, allowed, words)
-            value = fit + base - k * PENALTY * np.log(words + 1.0)
-            better = value > best
-            chosen[better], best[better] = weights[better], value[better]
+            at = np.flatnonzero(np.isin(owner, growing))
+            n = words[growing]
+            allowed = np.zeros((len(growing), kinds))
+            np.put_along_axis(allowed, order[growing, :k], 1 / k, axis=1)
+            weights, fit = self._mix(likely[at], np.cumsum(n) - n, np.repeat(np.arange(len(n)), n), allowed, n)
+            value = fit + base[growing] - k * PENALTY * np.log(n + 1.0)
+            better = value > best[growing]
+            chosen[growing[better]], best[growing[better]] = weights[better], value[better]
+            growing = growing[better]
         shares[rows] = chosen
         top[rows] = chosen.max(1)
         for row, at in zip(rows, chosen.argmax(1)):
@@ -133,22 +141,21 @@ def fit(texts: pa.Array, langs: list[str], smoothing: float = 0.5) -> Languages:
 def train(docs: DataFrame, most: int = TRAIN_DOCS, modulus: int = 4, held: int = 2) -> Languages:
     """Tables from an even share of documents of each language, outside the held-out part."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket(F.col("doc_id"), modulus) != held))
-    found = usable.groupBy("lang").count().collect()
+    found = usable.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
     if not found:
         return Languages([], np.zeros((CODES, 0), np.float32))
     cells = 1 << 20
-    # Shares are of all usable documents; the few too long to fit on only make a sample smaller.
     rows = [(r["lang"], min(cells, int(cells * most / len(found) / r["count"]) + 1)) for r in found]
     shares = docs.sparkSession.createDataFrame(rows, "lang string, share long")
-    table = (
-        usable.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_TEXT_BYTES).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text"))
+    sampled = (
+        usable.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text"))
         .join(F.broadcast(shares), "lang")
         .where(F.pmod(F.xxhash64("doc_id"), F.lit(cells)) < F.col("share"))
-        .select("doc_id", "lang", "text")
-        .toArrow()
-        .sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     )
-    return fit(table["text"].combine_chunks(), table["lang"].to_pylist())
+    table = fetch(sampled.select("doc_id", "text", F.col("lang").alias("label")), each=True)
+    return fit(table["text"].combine_chunks(), table["label"].to_pylist())
 
 
 def identify(docs: DataFrame, languages: Languages) -> DataFrame:

@@ -9,7 +9,8 @@ Ranks are made without gathering a length in one task: pieces of a length are de
 salts by a hash, ranked within (length, salt), and shifted by the salts' running counts.
 
 Defined cases: a null or empty text is a document of the end token alone; equal rows, or
-rows with equal ids, are packed once each; an empty table gives no pieces; extra columns
+rows with equal ids, are packed once each; a very long text is tokenized whole, long runs
+of white space too; an empty table gives no pieces; extra columns
 of the input are not looked at.
 """
 

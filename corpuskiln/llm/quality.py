@@ -9,12 +9,14 @@ in blocks of matrix products, and the ``NEIGHBOURS`` nearest vote with their sim
 (raised to ``SHARPNESS``) as weight.
 
 The labelled vectors come from at most ``TRAIN_DOCS`` documents (chosen by a hash of the
-id), a documented bound, so what is broadcast is at most
+id) of ``training.FIT_BYTES`` in all, a documented bound, so what is broadcast is at most
 ``TRAIN_DOCS * DIMENSIONS + TERMS * DIMENSIONS`` numbers of four bytes.
 
 Defined cases: a null or empty text has the zero vector and gets the share of label 1
 among the labelled documents; without usable labels the score is 0.5; labels that are
-null, or differ for one id, are left out; repeated rows are scored each; an empty table
+null, or differ for one id, are left out; of labelled documents at equal distance the
+one with the lesser id votes; a very long text is scored whole, in a slice of its own;
+repeated rows are scored each; an empty table
 gives no rows; extra columns are not looked at.
 """
 
@@ -86,6 +88,15 @@ def term_counts(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def _nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` largest of each row; of equal ones the first."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosine, near, 1).min(1)
+    for row in np.flatnonzero((cosine >= least[:, None]).sum(1) > k):
+        near[row] = np.argsort(-cosine[row], kind="stable")[:k]
+    return near
+
+
 @dataclass
 class Space:
     idf: np.ndarray
@@ -107,7 +118,7 @@ class Space:
         out = np.empty(len(z))
         for i in range(0, len(z), BLOCK):
             cosine = z[i : i + BLOCK] @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            near = _nearest(cosine, k)
             weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(float) ** SHARPNESS
             total = weight.sum(1)
             share = (weight * self.labels[near]).sum(1) / np.maximum(total, 1e-12)

@@ -8,6 +8,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from corpuskiln.operators.tokenizers import encode_with
+
 
 @lru_cache(maxsize=4)
 def load_tokenizer(path: str):
@@ -33,7 +35,8 @@ class ByteBpe:
 
     The vocabulary of the JSON file is loaded into ``tiktoken`` as merge ranks. That is
     done only if ids are ranks in merge order and a probe text gives the same ids in both
-    libraries; texts that hold a special token's string always go to ``tokenizers``.
+    libraries; texts that hold a special token's string always go to ``tokenizers``. Long
+    runs of white space, on which the pattern's matcher overflows, are encoded beside it.
     """
 
     PROBE = "It's 12 o'clock,  naïve Ünï \t\n\n x1y2 don't WE'LL  中文\U0001f600 a\r\n  b "
@@ -63,7 +66,7 @@ class ByteBpe:
     def encode(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.special):
             return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text)
+        return encode_with(self.fast, text)
 
 
 @lru_cache(maxsize=4)

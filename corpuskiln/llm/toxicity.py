@@ -8,13 +8,13 @@ with an L1 penalty, so the words that mark offending sentences stand out. Scorin
 gives the places of the offending sentences.
 
 The model is fitted on at most ``TRAIN_DOCS`` labelled documents (chosen by a hash of the
-id), a documented bound; it is a sorted table of at most ``MOST_FEATURES``
+id) of ``training.FIT_BYTES`` in all, a documented bound; it is a sorted table of at most ``MOST_FEATURES``
 hashes and weights, and is sent to the tasks as such.
 
 Defined cases: a null, empty or wordless text is scored by its sentences without words,
 so it gets the score of the bias alone; labels that are null are left out, as are ids with
-several labels that differ; without any usable label the score is 0; repeated rows are
-scored each; an empty table gives no rows; extra columns are not looked at.
+several labels that differ; without any usable label the score is 0; a very long text is
+scored whole, in a slice of its own; repeated rows are scored each; an empty table gives no rows; extra columns are not looked at.
 """
 
 from __future__ import annotations

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -119,3 +120,57 @@ def test_odd_rows_of_the_language_model(odd):
     assert len(found) == 15 and sum(r["doc_id"] == 9 for r in found) == 2
     assert {r["doc_id"]: r["n_tokens"] for r in found if r["doc_id"] is not None}[1] == 1
     assert language_model.held_out_scores(odd.where("doc_id < 0")).count() == 0
+
+
+def test_samples_are_bounded_whatever_the_lengths(spark):
+    from corpuskiln.llm import training
+
+    rows = [(k, "x" * (1_000_000 if k % 4 == 0 else 100), k % 2) for k in range(80)] + [(1, "y", 1), (3, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    whole = training.fetch(df)
+    assert whole.num_rows == 80 and whole["text"][1].as_py() == "x" * 100
+    some = training.fetch(df, 5_000_000)
+    kept = some["doc_id"].to_pylist()
+    assert 5 <= sum(k % 4 == 0 for k in kept) <= 6 and any(k % 4 for k in kept)  # long texts are in it
+    each = training.fetch(df, 2_000_000, each=True)
+    assert set(each["label"].to_pylist()) == {0, 1}
+
+
+def test_four_languages_in_one_document():
+    rng = random.Random(3)
+    alphabets = {"a": "abcde", "b": "fghij", "c": "klmno", "d": "pqrst", "e": "uvwxy"}
+    text = lambda lang, n: " ".join("".join(rng.choice(alphabets[lang]) for _ in range(6)) for _ in range(n))
+    model = languages.fit(pa.array([text(x, 300) for x in alphabets for _ in range(3)]), [x for x in alphabets for _ in range(3)])
+    mixed = " ".join(text(x, 100 + 20 * k) for k, x in enumerate("abcd"))
+    names, top, shares = model.infer(pa.array([mixed, text("e", 50), None]))
+    assert names == ["d", "e", "und"] and ((shares > 0).sum(1) == [4, 1, 0]).all() and abs(top[0] - 160 / 520) < 0.02
+
+
+def test_votes_are_brute_force_s():
+    rng = np.random.default_rng(6)
+    texts = pa.array([" ".join(rng.choice(["ab", "CD", "12", "x.y", "é"], rng.integers(5, 40))) for _ in range(120)] * 2 + ["", None])
+    labels = rng.integers(0, 2, len(texts))
+    space = quality.fit(texts, labels)
+    got = space.vote(quality.term_counts(texts))
+    z = space.project(quality.term_counts(texts))
+    for k in range(len(texts)):
+        cosine = z[k] @ space.vectors.T
+        near = sorted(range(len(labels)), key=lambda j: -cosine[j])[: quality.NEIGHBOURS]
+        weight = np.maximum(cosine[near], 0) ** quality.SHARPNESS
+        expected = (weight * labels[near]).sum() / weight.sum() if weight.sum() > 1e-9 else labels.mean()
+        assert abs(got[k] - expected) < 0.05
+
+
+def test_noisy_or_is_brute_force_s(corpus):
+    docs, labels, rows = corpus
+    model = toxicity.train(docs, labels)
+    weights = dict(zip(model.features.tolist(), model.weights.tolist()))
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for k, value, _ in rows[:60]:
+        quiet = 1.0
+        for sentence in re.split(r"[.!?\n]", value):
+            x = toxicity.instances(pa.array([sentence]))
+            if len(x.document):
+                z = sum(weights.get(f, 0.0) for f in x.features.tolist()) + model.bias
+                quiet *= 1 - 1 / (1 + np.exp(-z))
+        assert abs(found[k] - (1 - quiet)) < 1e-6

@@ -78,3 +78,10 @@ def test_fast_ids_are_the_library_s():
     assert bpe.fast is not None
     for value in ["", " ", "a  b\n\n c\t", "I'll don't WE'LL", "é中\U0001f600", "\x00\x1c x", "<|endoftext|>", "1234567890" * 50]:
         assert bpe.encode(value).tolist() == library.encode(value, add_special_tokens=False).ids
+
+
+def test_long_runs_of_one_character(spark, docs_of):
+    library = Tokenizer.from_file(PATH)
+    values = [c * 1_500_000 for c in " \n\ta"] + ["x" + " " * 1_200_000 + "y", "\r\n" * 400_000 + "."]
+    found = packing.pack(docs_of(list(enumerate(values))), PATH).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in found} == {k: len(library.encode(v, add_special_tokens=False).ids) + 1 for k, v in enumerate(values)}
