@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+import pytest
 
 from corpuskiln.llm import components, neighbours
 
@@ -48,15 +50,41 @@ def test_decoding_lists_every_cap_over_the_threshold():
         assert set(zip(row.tolist(), code.tolist())) == set(zip(*(a.tolist() for a in np.nonzero(total >= 1.2 / np.sqrt(12) * np.sqrt(len(books)) - 1e-12))))
 
 
-def test_few_pairs_at_the_threshold_have_no_common_cap():
-    for most, length in ((10_000, 64), (65_000, 64), (200_000, 64), (200_000, 8)):
-        x, y = neighbours.random_pairs(400, length, 0.93, 77)
-        plan = neighbours.cap_plan(most, 0.93, length)
-        met = set()
-        for low in range(0, 400, 50):
-            one, two = (set(zip(*(a.tolist() for a in neighbours.decode_turns(v[low : low + 50], *plan)))) for v in (x, y))
-            met |= {low + row for row, _ in one & two}
-        assert len(met) >= 396
+@pytest.mark.parametrize("length", [2, 3, 8, 16, 64, 768])
+@pytest.mark.parametrize("most", [10_000, 1_000_000, 100_000_000])
+@pytest.mark.parametrize("cosine", [0.931, 0.95, 0.97])
+def test_few_pairs_over_the_threshold_have_no_common_cap(length, most, cosine):
+    """By the plan of a label of so many vectors, which needs no such table."""
+    x, y = neighbours.random_pairs(400, length, cosine, 77)
+    plan = neighbours.cap_plan(most, 0.93, length)
+    met = set()
+    for low in range(0, 400, 50):
+        one, two = (set(zip(*(a.tolist() for a in neighbours.decode_turns(v[low : low + 50], *plan)))) for v in (x, y))
+        met |= {low + row for row, _ in one & two}
+    assert len(met) >= 394
+
+
+def test_links_of_a_large_label(spark):
+    """50,000 vectors of one label, 4,000 of them in planted groups of two to forty."""
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((50_000, 24)).astype(np.float32)
+    at = 0
+    while at < 4_000:
+        size = int(rng.integers(2, 41))
+        x[at : at + size] = x[at] + rng.uniform(0.05, 0.3) * rng.standard_normal((size, 24))
+        at += size
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x), "label": "a"}), "vec_id long, embedding array<float>, label string")
+    found = neighbours.near_duplicates(df).toPandas().sort_values("vec_id")
+    z = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    true = np.concatenate([(z[k : k + 1000] @ z.T >= 0.93).sum(1) - 1 for k in range(0, len(z), 1000)])
+    got = found["n_links"].to_numpy()
+    assert true.sum() > 10_000 and (got <= true).all() and got.sum() >= 0.99 * true.sum()
+
+
+def test_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "a"), (2, [1.0, 0.01], "a"), (2, [0.0, 1.0], "b"), (3, [0.0, 1.0], "b"), (4, [0.0, 1.0], None), (4, [0.0, 1.0], "b")]
+    found = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (4, 1, 3)]
 
 
 def test_components(spark):
