@@ -30,8 +30,14 @@ documents are already known to be connected.
 
 Defined cases: a null, empty or wordless text has an empty set and links with nothing; with
 fewer words than the shingle's, the whole sequence is the one shingle; a null id links with
-nothing and is its own (null) component; rows that repeat an id are given out each; an
-empty table gives no rows; extra columns are not looked at.
+nothing and is its own (null) component; rows that repeat an id are given out each; a very
+long text is one set, in a slice of its own; an empty table gives no rows; extra columns
+are not looked at. Sets are of 64-bit hashes: different shingles of two documents are
+taken for equal with a chance of 2^-64 for each pair of them.
+
+A token or combination that a large part of all rows holds is never gathered in one task:
+rows of such keys (a bounded number) stay where they are and meet their counts or leaders
+by broadcast.
 """
 
 from __future__ import annotations
@@ -42,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskiln.llm.components import components
-from corpuskiln.llm.shared import bound_batches, cut, texts_of
+from corpuskiln.llm.shared import bound_batches, cut, discard, heavy_keys, join_dealt, texts_of
 from corpuskiln.llm.text import mix64, shingle_hashes, slices, word_hashes
 
 EXTRA, EXTRA_PART = 8, 4
@@ -120,9 +126,9 @@ def features(docs: DataFrame, width: int, percent: int) -> DataFrame:
     )
 
 
-def _marks(wanted: DataFrame) -> np.ndarray:
-    """A bit for the hash of each wanted id, in at most ``MOST_MARKS`` bits."""
-    bits = 1 << min(MOST_MARKS.bit_length() - 1, max(16, (64 * wanted.count()).bit_length()))
+def _marks(wanted: DataFrame, n: int) -> np.ndarray:
+    """A bit for the hash of each of ``n`` wanted ids, in at most ``MOST_MARKS`` bits."""
+    bits = 1 << min(MOST_MARKS.bit_length() - 1, max(16, (64 * n).bit_length()))
     at = F.pmod(F.xxhash64("doc"), F.lit(bits))
     words = wanted.groupBy(F.floor(at / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc), {bits}) % 64 as int))")).alias("bits"))
     found = words.toArrow()  # at most MOST_MARKS / 64 rows
@@ -134,11 +140,16 @@ def _marks(wanted: DataFrame) -> np.ndarray:
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(doc, n, tokens, bits) of the wanted documents, from their texts, and of a few others.
 
-    Texts are not moved: a table of hashed bits, of a fixed size at most, tells the scanning
-    tasks which documents to look at. Beyond that size more others come along; every use of
-    the sets joins them by id.
+    While a table of hashed bits can tell them apart, it is sent to the scanning tasks and
+    no text is moved; every use of the sets joins them by id. For more documents than that
+    the texts are joined with the wanted ids.
     """
-    marks = docs.sparkSession.sparkContext.broadcast(_marks(wanted))
+    n = wanted.count()
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    marked = 8 * n <= MOST_MARKS
+    if not marked:
+        texts = texts.join(wanted, "doc", "left_semi")
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(wanted, n) if marked else np.full(1, -1).view(np.uint64))
 
     def run(batches):
         for whole in batches:
@@ -153,7 +164,6 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 )
 
     bound_batches(docs.sparkSession)
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     return texts.withColumn("hash", F.xxhash64("doc")).mapInArrow(run, "doc long, n int, tokens array<long>, bits array<long>").where("n > 0")
 
 
@@ -224,24 +234,30 @@ def _leader_pairs(keyed: DataFrame, percent: int, turn: int) -> DataFrame:
     turns, when most lists are in one component, have an order for each list.
     """
     order = F.xxhash64(F.pmod("key", F.lit(ORDERS)), "doc") if not turn else F.xxhash64(F.lit(turn), "key", "doc")
-    leaders = keyed.groupBy("key").agg(F.min_by(F.struct("doc", "n", "bits", "part"), F.struct(order, F.col("doc"))).alias("y"), F.count(F.lit(1)).alias("many"))
-    met = keyed.select("key", F.struct("doc", "n", "bits", "part").alias("x")).join(leaders.where("many > 1"), "key")
+    leaders = keyed.groupBy("key").agg(F.min_by(F.struct("doc", "n", "bits", "part"), F.struct(order, F.col("doc"))).alias("y"), F.count(F.lit(1)).alias("count"))
+    leaders = cut(leaders.where("count > 1"))
+    met = join_dealt(keyed.select("key", F.struct("doc", "n", "bits", "part").alias("x")), leaders.select("key", "y"), "key", heavy_keys(leaders, "key"))
     fit = (F.col("x.part") != F.col("y.part")) & _sizes_fit(F.col("x.n"), F.col("y.n"), percent) & _bits_fit("x", "y", percent)
     return met.where(fit).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
 
 def _open_lists(keyed: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows of the lists that lie in more than one component, with the documents' components."""
+    """Rows of the lists that lie in more than one component, with the documents' components; ``keyed`` is used up."""
     placed = keyed.select("key", "doc", "n", "bits").join(parts.withColumnRenamed("node", "doc"), "doc", "left")
-    placed = placed.select("key", "doc", "n", "bits", F.coalesce("component", "doc").alias("part"))
-    ends = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    return placed.join(ends.select("key"), "key", "left_semi")
+    placed = cut(placed.select("key", "doc", "n", "bits", F.coalesce("component", "doc").alias("part")))
+    discard(keyed)
+    ends = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("count"))
+    ends = cut(ends.where("low < high").select("key", "count"))
+    found = cut(join_dealt(placed, ends.select("key"), "key", heavy_keys(ends, "key"), "left_semi"))
+    discard(placed, ends)
+    return found
 
 
 def _cross_pairs(keyed: DataFrame, percent: int) -> DataFrame:
     """All pairs of a list across components."""
-    sizes = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    blocked = keyed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    sizes = cut(keyed.groupBy("key").count())
+    blocks = sizes.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    blocked = join_dealt(keyed, blocks, "key", heavy_keys(sizes, "key")).withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     one = lambda name: blocked.select(
         "key", F.struct("doc", "n", "bits", "part").alias(name), F.col("block").alias(f"{name}_block"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
@@ -258,14 +274,16 @@ def _cross_pairs(keyed: DataFrame, percent: int) -> DataFrame:
 def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id."""
     every = cut(features(docs, width, percent))
-    filled = every.where("n > 0 and doc is not null")
-    folded = cut(filled.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    member = filled.select("doc", "h1", "h2").join(folded.where("copies > 1"), ["h1", "h2"])
+    filled = every.where("n > 0 and doc is not null").withColumn("digest", F.struct("h1", "h2"))
+    folded = cut(filled.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("count")).where("count > 1"))
+    member = join_dealt(filled.select("doc", "digest"), folded, "digest", heavy_keys(folded, "digest"))
     member = cut(member.groupBy("doc").agg(F.min("rep").alias("rep")))  # rows may repeat an id
+    discard(folded)
     reps = filled.join(member.where("doc <> rep"), "doc", "left_anti").select("doc", "n", "listed")
     postings = reps.select("doc", "n", F.explode("listed").alias("token"))
     counts = cut(postings.groupBy("token").count().where("count > 1"))
-    known = cut(postings.join(counts, "token"))
+    heavy = heavy_keys(counts, "token")
+    known = cut(join_dealt(postings, counts, "token", heavy))
 
     crowd = known.groupBy("doc", "n").agg(F.count_if(F.col("count") > FREQUENT).alias("n_frequent")).where("n_frequent > 0")
     length = F.least(F.col("n"), F.col("n") - _sql("needed", "n", percent) + _sql("promised", "n", percent)) - F.col("n_frequent")
@@ -278,6 +296,7 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # Single rare tokens of plain documents.
     rare = known.where(F.col("count") <= FREQUENT).join(crowd.select("doc", "promise", "crowded"), "doc", "left")
     rare = cut(rare.where(~F.coalesce("crowded", F.lit(False))).select("token", "doc", "n", F.coalesce("promise", _promise(0, percent)).alias("promise")))
+    discard(known)
     x, y = (rare.select("token", F.struct("doc", "n", "promise").alias(c)) for c in "xy")
     plain = (
         x.join(y, "token").where((F.col("x.doc") < F.col("y.doc")) & _sizes_fit(F.col("x.n"), F.col("y.n"), percent))
@@ -293,11 +312,12 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     # Crowded with plain documents: rare tokens of both in the first order.
     position = Window.partitionBy("doc").orderBy(F.expr("token < 0"), "token")
-    own_rare = tokens.join(counts.where(F.col("count") > FREQUENT), "token", "left_anti").withColumn("at", F.dense_rank().over(position))
+    light = lambda rows: rows.join(heavy, "token", "left_anti")  # noqa: E731  heavy tokens are frequent ones
+    own_rare = light(tokens).join(counts.where(F.col("count") > FREQUENT), "token", "left_anti").withColumn("at", F.dense_rank().over(position))
     within = F.col("n") - _sql("needed", "n", percent) + _sql("promised", "n", percent)
     own_rare = cut(own_rare.where(F.col("at") <= within).select("token", "doc", "n"))
     unseen = own_rare.select("token").distinct().join(counts, "token", "left_anti")
-    missed = postings.join(crowded, "doc", "left_anti").join(unseen, "token", "left_semi").join(crowd.select("doc", "promise"), "doc", "left")
+    missed = light(postings).join(crowded, "doc", "left_anti").join(unseen, "token", "left_semi").join(crowd.select("doc", "promise"), "doc", "left")
     plain_rare = rare.unionByName(missed.select("token", "doc", "n", F.coalesce("promise", _promise(0, percent)).alias("promise")))
     x, y = plain_rare.select("token", F.struct("doc", "n", "promise").alias("x")), own_rare.select("token", F.struct("doc", "n", _promise(0, percent).alias("promise")).alias("y"))
     mixed = (
@@ -307,21 +327,24 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .where("shared >= promise").select("a", "b")
     )
     mixed = cut(mixed)
-    extra = _ends(mixed).join(sets.select("doc"), "doc", "left_anti")
-    sets = sets.unionByName(cut(whole_sets(docs, extra, width)))
+    discard(rare, own_rare)
+    extra = cut(_ends(mixed).join(sets.select("doc"), "doc", "left_anti"))
+    if extra.head(1):
+        sets = sets.unionByName(cut(whole_sets(docs, extra, width)))
 
     # Crowded documents with each other, in an order of their own.
-    among = tokens.groupBy("token").count().where("count > 1")
-    split = tokens.join(among, "token").groupBy("doc").agg(
+    among = cut(tokens.groupBy("token").count().where("count > 1"))
+    split = join_dealt(tokens, among, "token", heavy_keys(among, "token")).groupBy("doc").agg(
         F.collect_list(F.when(F.col("count") <= FREQUENT, F.col("token"))).alias("rare"),
         F.collect_list(F.when(F.col("count") > FREQUENT, F.col("token"))).alias("frequent"),
     )
     index = full.select("doc", "n", "bits").join(split, "doc").withColumn("n_rare", (F.col("n") - F.size(F.array_distinct("frequent"))).cast("int"))
     keyed = cut(_combination_keys(index, percent).withColumn("part", F.col("doc")))
+    discard(tokens, among)
     links = cut(verified(plain.unionByName(mixed).unionByName(_leader_pairs(keyed, percent, 0)).distinct(), sets, percent))
     parts = components(links)
     for turn in range(1, TURNS + 1):
-        keyed = cut(_open_lists(keyed, parts))
+        keyed = _open_lists(keyed, parts)
         if not keyed.head(1):
             break
         pairs = _leader_pairs(keyed, percent, turn) if turn < TURNS else _cross_pairs(keyed, percent)
@@ -330,7 +353,9 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             links = links.unionByName(found)
             parts = components(links)
 
-    classes = member.withColumnRenamed("rep", "node").join(parts, "node", "left").select("doc", F.coalesce("component", "node").alias("c1"))
+    copies = cut(member.groupBy("rep").count())
+    placed = join_dealt(member, parts.withColumnRenamed("node", "rep"), "rep", heavy_keys(copies, "rep"), "left")
+    classes = placed.select("doc", F.coalesce("component", "rep").alias("c1"))
     return (
         every.select("doc", "n").join(classes, "doc", "left").join(parts.withColumnRenamed("node", "doc"), "doc", "left")
         .select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("c1", "component", "doc").alias("component_id"))
