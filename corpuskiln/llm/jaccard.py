@@ -190,7 +190,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _combination_keys(crowded: DataFrame, percent: int) -> DataFrame:
-    """(key, doc, n, bits) of crowded documents; ``rare`` and ``frequent`` are their tokens.
+    """(key, doc, n) of crowded documents; ``rare`` and ``frequent`` are their tokens.
 
     A document stands under the size class of its own size, and under the next one if a
     partner there could be similar; the larger of a pair's classes is the pair's.
@@ -220,41 +220,47 @@ def _combination_keys(crowded: DataFrame, percent: int) -> DataFrame:
             if out[0]:
                 rows = np.concatenate(out[1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out[0])), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), batch.column(5).take(pa.array(rows))],
-                    ["key", "doc", "n", "bits"],
+                    [pa.array(np.concatenate(out[0])), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], ["key", "doc", "n"]
                 )
 
-    return crowded.select("doc", "n", "rare", "frequent", "n_rare", "bits").mapInArrow(run, "key long, doc long, n int, bits array<long>")
+    return crowded.select("doc", "n", "rare", "frequent", "n_rare").mapInArrow(run, "key long, doc long, n int")
 
 
-def _leader_pairs(keyed: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs of each document with the leader of each of its lists, across components.
+def _meet_leaders(keyed: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Rows of the lists that lie in more than one component, each with its list's leader if they may link.
 
     The first turn has ``ORDERS`` orders of documents, so that few documents lead; later
-    turns, when most lists are in one component, have an order for each list.
+    turns, when most lists are in one component, have an order for each list. ``keyed``
+    (key, doc, n, part) is used up.
     """
+    heavy = heavy_keys(keyed.groupBy("key").count().where("count > 64"), "key", keyed.count())
     order = F.xxhash64(F.pmod("key", F.lit(ORDERS)), "doc") if not turn else F.xxhash64(F.lit(turn), "key", "doc")
-    leaders = keyed.groupBy("key").agg(F.min_by(F.struct("doc", "n", "bits", "part"), F.struct(order, F.col("doc"))).alias("y"), F.count(F.lit(1)).alias("count"))
-    leaders = cut(leaders.where("count > 1"))
-    met = join_dealt(keyed.select("key", F.struct("doc", "n", "bits", "part").alias("x")), leaders.select("key", "y"), "key", heavy_keys(leaders, "key"))
-    fit = (F.col("x.part") != F.col("y.part")) & _sizes_fit(F.col("x.n"), F.col("y.n"), percent) & _bits_fit("x", "y", percent)
-    return met.where(fit).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
-
-
-def _open_lists(keyed: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows of the lists that lie in more than one component, with the documents' components; ``keyed`` is used up."""
-    placed = keyed.select("key", "doc", "n", "bits").join(parts.withColumnRenamed("node", "doc"), "doc", "left")
-    placed = cut(placed.select("key", "doc", "n", "bits", F.coalesce("component", "doc").alias("part")))
+    facts = {"low": F.min("part"), "high": F.max("part"), "y": F.min_by(F.struct("doc", "n", "part"), F.struct(order, F.col("doc")))}
+    own = Window.partitionBy("key")
+    light = keyed.join(heavy, "key", "left_anti").withColumns({name: fact.over(own) for name, fact in facts.items()})
+    rows = keyed.join(heavy, "key", "left_semi")
+    dense = rows.join(F.broadcast(rows.groupBy("key").agg(*[fact.alias(name) for name, fact in facts.items()])), "key")
+    fit = (F.col("part") != F.col("y.part")) & _sizes_fit(F.col("n"), F.col("y.n"), percent)
+    met = light.unionByName(dense).where("low < high")
+    found = cut(met.select("key", "doc", "n", "part", F.when(fit, F.col("y.doc")).alias("lead")))
     discard(keyed)
-    ends = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("count"))
-    ends = cut(ends.where("low < high").select("key", "count"))
-    found = cut(join_dealt(placed, ends.select("key"), "key", heavy_keys(ends, "key"), "left_semi"))
-    discard(placed, ends)
     return found
 
 
-def _cross_pairs(keyed: DataFrame, percent: int) -> DataFrame:
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose parities allow the threshold."""
+    x, y = (sets.select(F.col("doc").alias(k), F.struct("n", "bits").alias(name)) for k, name in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").where(_bits_fit("x", "y", percent)).select("a", "b")
+
+
+def _leader_pairs(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    pairs = met.where("lead is not null").select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct()
+    return _near(pairs, sets, percent)
+
+
+def _cross_pairs(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All pairs of a list across components."""
+    keyed = cut(met.join(sets.select("doc", "bits"), "doc"))
     sizes = cut(keyed.groupBy("key").count())
     blocks = sizes.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     blocked = join_dealt(keyed, blocks, "key", heavy_keys(sizes, "key")).withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
@@ -338,16 +344,21 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         F.collect_list(F.when(F.col("count") <= FREQUENT, F.col("token"))).alias("rare"),
         F.collect_list(F.when(F.col("count") > FREQUENT, F.col("token"))).alias("frequent"),
     )
-    index = full.select("doc", "n", "bits").join(split, "doc").withColumn("n_rare", (F.col("n") - F.size(F.array_distinct("frequent"))).cast("int"))
+    index = full.select("doc", "n").join(split, "doc").withColumn("n_rare", (F.col("n") - F.size(F.array_distinct("frequent"))).cast("int"))
     keyed = cut(_combination_keys(index, percent).withColumn("part", F.col("doc")))
     discard(tokens, among)
-    links = cut(verified(plain.unionByName(mixed).unionByName(_leader_pairs(keyed, percent, 0)).distinct(), sets, percent))
+    met = _meet_leaders(keyed, percent, 0)
+    links = cut(verified(plain.unionByName(mixed).unionByName(_leader_pairs(met, sets, percent)).distinct(), sets, percent))
+    discard(plain, mixed)
     parts = components(links)
     for turn in range(1, TURNS + 1):
-        keyed = _open_lists(keyed, parts)
-        if not keyed.head(1):
+        placed = met.select("key", "doc", "n").join(parts.withColumnRenamed("node", "doc"), "doc", "left")
+        placed = cut(placed.select("key", "doc", "n", F.coalesce("component", "doc").alias("part")))
+        discard(met)
+        met = _meet_leaders(placed, percent, turn)
+        if not met.head(1):
             break
-        pairs = _leader_pairs(keyed, percent, turn) if turn < TURNS else _cross_pairs(keyed, percent)
+        pairs = _leader_pairs(met, sets, percent) if turn < TURNS else _cross_pairs(met, sets, percent)
         found = cut(verified(pairs, sets, percent))
         if found.head(1):
             links = links.unionByName(found)

@@ -81,14 +81,18 @@ def discard(*tables: DataFrame) -> None:
         files.delete(at, True)
 
 
-def heavy_keys(counts: DataFrame, key: str) -> DataFrame:
-    """The keys of (key, count) that hold a large part of an average task's rows.
+HEAVY_KEYS = 1 << 16
 
-    A key is one of them from an eighth of such a part on, so they are at most eight for
-    each shuffle partition however many keys there are: few enough to broadcast.
+
+def heavy_keys(counts: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """The keys of (key, count) with a ``HEAVY_KEYS``-th part of all rows or more, to broadcast.
+
+    So they are at most ``HEAVY_KEYS`` however many keys there are. ``total``: the rows, if
+    ``counts`` leaves out light keys.
     """
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    return F.broadcast(cut(counts.where(F.col("count") * 8 * partitions(counts.sparkSession) >= total).where("count > 64").select(key)))
+    if total is None:
+        total = counts.agg(F.sum("count")).first()[0] or 0
+    return F.broadcast(cut(counts.where(F.col("count") > max(64, total // HEAVY_KEYS)).select(key)))
 
 
 def join_dealt(rows: DataFrame, facts: DataFrame, key: str, heavy: DataFrame, how: str = "inner") -> DataFrame:
