@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskiln.llm.components import components
-from corpuskiln.llm.shared import bound_batches, cut, discard, heavy_keys, join_dealt, texts_of
+from corpuskiln.llm.shared import bound_batches, counted, cut, discard, heavy_keys, join_dealt, texts_of
 from corpuskiln.llm.text import mix64, shingle_hashes, slices, word_hashes
 
 EXTRA, EXTRA_PART = 8, 4
@@ -287,9 +287,9 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     discard(folded)
     reps = filled.join(member.where("doc <> rep"), "doc", "left_anti").select("doc", "n", "listed")
     postings = reps.select("doc", "n", F.explode("listed").alias("token"))
-    counts = cut(postings.groupBy("token").count().where("count > 1"))
+    known = cut(counted(postings, "token"))
+    counts = cut(known.groupBy("token").agg(F.max("count").alias("count")))
     heavy = heavy_keys(counts, "token")
-    known = cut(join_dealt(postings, counts, "token", heavy))
 
     crowd = known.groupBy("doc", "n").agg(F.count_if(F.col("count") > FREQUENT).alias("n_frequent")).where("n_frequent > 0")
     length = F.least(F.col("n"), F.col("n") - _sql("needed", "n", percent) + _sql("promised", "n", percent)) - F.col("n_frequent")
@@ -339,14 +339,13 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         sets = sets.unionByName(cut(whole_sets(docs, extra, width)))
 
     # Crowded documents with each other, in an order of their own.
-    among = cut(tokens.groupBy("token").count().where("count > 1"))
-    split = join_dealt(tokens, among, "token", heavy_keys(among, "token")).groupBy("doc").agg(
+    split = counted(tokens, "token").groupBy("doc").agg(
         F.collect_list(F.when(F.col("count") <= FREQUENT, F.col("token"))).alias("rare"),
         F.collect_list(F.when(F.col("count") > FREQUENT, F.col("token"))).alias("frequent"),
     )
     index = full.select("doc", "n").join(split, "doc").withColumn("n_rare", (F.col("n") - F.size(F.array_distinct("frequent"))).cast("int"))
     keyed = cut(_combination_keys(index, percent).withColumn("part", F.col("doc")))
-    discard(tokens, among)
+    discard(tokens)
     met = _meet_leaders(keyed, percent, 0)
     links = cut(verified(plain.unionByName(mixed).unionByName(_leader_pairs(met, sets, percent)).distinct(), sets, percent))
     discard(plain, mixed)

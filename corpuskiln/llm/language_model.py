@@ -20,7 +20,8 @@ bound) are sent to the scoring tasks; all others are looked up by a join on thei
 nothing that grows with the input is broadcast.
 
 Defined cases: a null or empty text is the end alone; a null id is scored but not learned
-from; rows repeated in id and text are each given out; without training texts the counts
+from; rows repeated in id and text are each given out; a very long text is scored in a
+slice of its own; without training texts the counts
 are zero; an empty table gives no rows; extra columns are not looked at.
 """
 
@@ -45,7 +46,7 @@ BATCH = 1 << 14
 RATE = 0.4
 ROUNDS = 1
 TABLE_WORDS = 1 << 18
-MOST_COUNT = 1_000_000
+EXACT_COUNTS = 1_000_000
 BLOCK_FEATURES = 256
 END_HASH = np.uint64(0x2545F4914F6CDD1D)
 _START = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B], np.uint64)
@@ -281,11 +282,14 @@ def fit(train: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     unseen[-1] = 1e-9
     unseen[kinds == 0] = 1 - 1e-9
     share = np.log10(1 - unseen) - np.log10(np.maximum(mass + 0.5 * kinds, 0.5))
-    # A histogram of counts gives the least count whose words fit the table; no sort, no limit.
-    sizes = counts.groupBy(F.least("c", F.lit(MOST_COUNT)).alias("c")).agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by([("c", "descending")])
+    # A histogram of counts (in steps of a thousandth from ``EXACT_COUNTS`` on) gives the least
+    # count whose words fit the table; no sort, no limit.
+    exact = F.col("c") < EXACT_COUNTS
+    step = F.when(exact, F.col("c")).otherwise(EXACT_COUNTS + F.floor(1000 * F.log(F.col("c") / EXACT_COUNTS))).cast("long")
+    sizes = counts.groupBy(step.alias("c")).agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by([("c", "descending")])
     fits = np.cumsum(sizes["n"].to_numpy()) <= TABLE_WORDS
-    least = int(sizes["c"][int(fits.sum()) - 1].as_py()) if fits.any() else MOST_COUNT + 1
-    top = counts.where(F.least("c", F.lit(MOST_COUNT)) >= least).select("h", "c").toArrow()
+    least = int(sizes["c"][int(fits.sum()) - 1].as_py()) if fits.any() else 1 << 62
+    top = counts.where(step >= least).select("h", "c").toArrow()
     words, held = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
     order = np.argsort(words)
     return Model(classes, weights, words[order], held[order], share, np.log10(unseen), int(mass.sum()), int(kinds.sum())), counts
@@ -335,10 +339,12 @@ def _score_parts(docs: DataFrame, model: Model) -> DataFrame:
                 ids = batch.column(0)
                 rows = np.concatenate([np.arange(n), doc[lead]])
                 zeros = np.zeros(r, np.int64)
+                # Whole texts have a place of their own in the join, copies of one text too.
+                own_place = mix64(digest.view(np.uint64) ^ mix64(ids.fill_null(0).to_numpy().view(np.uint64)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array(rows)), pa.array(digest[rows]),
-                        pa.array(np.concatenate([mix64(digest.view(np.uint64)), t.hashes[lead]]).view(np.int64)),
+                        pa.array(np.concatenate([own_place, t.hashes[lead]]).view(np.int64)),
                         pa.array(np.concatenate([np.full(n, -1), y[lead]]), pa.int32()), pa.array(np.concatenate([np.ones(n, np.int64), tf])),
                         pa.array(np.concatenate([np.diff(t.first), zeros])), pa.array(np.concatenate([known, zeros])),
                         pa.array(np.concatenate([base, zeros])), pa.array(np.concatenate([score, zeros])),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import binascii
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -106,6 +106,29 @@ def join_dealt(rows: DataFrame, facts: DataFrame, key: str, heavy: DataFrame, ho
     return still.unionByName(rows.join(heavy, key, "left_anti").join(facts, key, how))
 
 
+_CELLS, _HOT_CELLS = 1 << 16, 1 << 12
+
+
+def counted(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key stands in more than one, with ``count``, its rows.
+
+    Rows are shuffled once, and counted where they meet. Beforehand, hashed cells of keys
+    are counted (``_CELLS`` numbers a task); keys of the at most ``_HOT_CELLS`` cells that
+    hold much more than their part are counted by partial sums, which reach the heavy ones
+    among their rows by broadcast.
+    """
+    cell = F.pmod(F.xxhash64(key), F.lit(_CELLS)).cast("int")
+    sizes = cut(rows.groupBy(cell.alias("cell")).count())
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    hot = [r["cell"] for r in sizes.where(F.col("count") > max(64, total // _HOT_CELLS)).collect()]
+    met = lambda some: some.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy(key))).where("count > 1")
+    if not hot:
+        return met(rows)
+    some = rows.where(cell.isin(hot))
+    facts = cut(some.groupBy(key).count().where("count > 1"))
+    return met(rows.where(~cell.isin(hot))).unionByName(join_dealt(some, facts, key, heavy_keys(facts, key)))
+
+
 def crc_bucket(doc_id, modulus: int):
     """crc32 of the id written as text, modulo ``modulus``."""
     return F.crc32(doc_id.cast("string")) % modulus
