@@ -70,10 +70,10 @@ _AXES = "tok(tokenizer, vocabulary, tokenizer_ord) AS (VALUES " + _values([(t, d
  ('ofat_layout','l','process_pool',3),('ofat_transport','b','in_process_binding',4),('ofat_chunk_size','c','1048576',5),('ofat_chunk_size','c','4194304',6),
  ('ofat_batch_chunks','n','32',7),('ofat_batch_chunks','n','128',8))"""
 
-_REASON = """CASE WHEN packing = 'fixed_u16' AND vocabulary > 65536 THEN 'packing=fixed_u16 requires vocab <= 65536; ' || tokenizer || ' has ' || vocabulary
- WHEN packing = 'raw_utf8' AND tokenizer <> 'none' THEN 'packing=raw_utf8 is only valid with tokenizer=none'
- WHEN tokenizer = 'none' AND packing <> 'raw_utf8' THEN 'tokenizer=none has no token ids to pack as ' || packing
- WHEN backend = 'lzma_tuned_lp1pb1' AND packing <> 'fixed_u16' THEN 'backend=lzma_tuned_lp1pb1 asserts a fixed 2-byte period; only meaningful with packing=fixed_u16'"""
+_REASON = """CASE WHEN packing = 'fixed_u16' AND vocabulary > 65536 THEN '16 bits tell 65536 ids apart, not the ' || vocabulary || ' of ' || tokenizer
+ WHEN packing = 'raw_utf8' AND tokenizer <> 'none' THEN 'raw bytes leave no room for a tokenizer'
+ WHEN tokenizer = 'none' AND packing <> 'raw_utf8' THEN packing || ' packs ids, and without a tokenizer there are none'
+ WHEN backend = 'lzma_tuned_lp1pb1' AND packing <> 'fixed_u16' THEN 'this coder is tuned to ids of two bytes each'"""
 
 CELLS = _AXES + """,
 grid AS (SELECT 'ratio_grid' AS cell_kind, tokenizer, packing, backend, 'subprocess_cli' AS backend_transport, 'library_batch' AS tokenization_layout, CAST(2097152 AS BIGINT) AS chunk_size,
@@ -84,7 +84,7 @@ swept AS (SELECT cell_kind, tokenizer, packing, backend, CASE WHEN axis = 'b' TH
  FROM pairs JOIN tok USING (tokenizer), bck, changes WHERE backend IN ('lzma_extreme', 'lzma_fast', 'zstd_19', 'zstd_12')),
 candidates AS (SELECT cell_kind, tokenizer, packing, backend, backend_transport, tokenization_layout, chunk_size, batch_chunks, threads, family, backend_profile, reason, gen_ord FROM grid UNION ALL
  SELECT cell_kind, tokenizer, packing, backend, backend_transport, tokenization_layout, chunk_size, batch_chunks, threads, family, backend_profile, """ + _REASON + """
- WHEN tokenizer = 'none' AND tokenization_layout <> 'library_batch' THEN 'tokenization_layout=' || tokenization_layout || ' is meaningless with tokenizer=none (no tokenization step)' END AS reason, gen_ord FROM swept),
+ WHEN tokenizer = 'none' AND tokenization_layout <> 'library_batch' THEN 'without a tokenizer nothing is laid out as ' || tokenization_layout END AS reason, gen_ord FROM swept),
 cells AS (SELECT * EXCLUDE (reason), substr(sha256(concat_ws('|', tokenizer, packing, backend, backend_transport, tokenization_layout, chunk_size::VARCHAR, batch_chunks::VARCHAR, threads::VARCHAR)), 1, 12) AS cell_id
  FROM candidates WHERE reason IS NULL)"""
 

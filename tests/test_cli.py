@@ -10,7 +10,7 @@ def test_selftest_plan_and_resources(spark, capsys):
     assert cli.main(["selftest"]) == 0
     assert cli.main(["plan"]) == 0 and cli.main(["resources"]) == 0
     said = capsys.readouterr().out
-    assert "ratio_grid | 51" in said and "packing=raw_utf8 is only valid" in said and "parallelism" in said
+    assert "ratio_grid | 51" in said and "raw bytes leave no room" in said and "parallelism" in said
 
 
 def test_archives_from_the_command_line(spark, sf, tmp_path, capsys):
