@@ -52,6 +52,13 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("log")
     p.add_argument("--tier", default="256KB", choices=list(dims.SMALL_TIERS))
     p.add_argument("--profile", default="fast", choices=["fast", "full"])
+    p.add_argument("--transport", default="in_process_binding", choices=dims.TRANSPORTS)
+    p.add_argument("--layout", default="library_batch", choices=dims.LAYOUTS)
+    p.add_argument("--threads", type=int, default=1)
+    p.add_argument("--chunk-size", type=int, default=dims.BASE_CHUNK)
+    p.add_argument("--batch-chunks", type=int, default=dims.BASE_BATCH)
+    p.add_argument("--timeout", type=float, default=sweep.TIMEOUT, help="seconds for each cell")
+    p.add_argument("--ofat", action="store_true", help="run the cells that change one axis at a time, by their own settings")
     p.add_argument("--no-resume", action="store_true")
     p.add_argument("--row-id", help="run this one cell again, whatever the log says")
     p.add_argument("--smoke", action="store_true", help="run one cell of each packing, logged as smoke rows")
@@ -86,8 +93,10 @@ def main(argv: list[str] | None = None) -> int:
         print(markdown(found.where("reason is null").groupBy("cell_kind").count().orderBy("cell_kind")))
         print(markdown(found.where("reason is not null").groupBy("reason").count().orderBy(F.desc("count"), "reason")))
     elif args.command == "sweep":
-        cells = matrix.cells(spark, args.profile).where("cell_kind = 'ratio_grid'")
+        cells = matrix.cells(spark, args.profile).where(F.col("cell_kind").startswith("ofat") if args.ofat else F.col("cell_kind") == "ratio_grid")
         cells = cells.where(F.col("tokenizer").isin("none", "r50k_base", "p50k_base"))
+        if not args.ofat:  # cells of one axis at a time keep their own settings
+            cells = matrix.at(cells, backend_transport=args.transport, tokenization_layout=args.layout, threads=args.threads, chunk_size=args.chunk_size, batch_chunks=args.batch_chunks)
         cells = cells.withColumn("corpus_tier", F.lit(args.tier)).withColumn("row_id", F.substring(F.sha2(F.concat_ws("|", "corpus_tier", "row_id"), 256), 1, 12))
         try:
             log = results.read_log(spark, args.log)
@@ -106,7 +115,7 @@ def main(argv: list[str] | None = None) -> int:
         members = corpus.tier_members(docs, dims.small_tiers(spark)).where(F.col("corpus_tier") == args.tier)
         stream = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]), "")
         data = docs.join(members.select("doc_id", "ord"), "doc_id").select(F.struct("ord", corpus.record(F.col("text")).alias("r")).alias("x")).agg(F.encode(stream, "UTF-8").alias("data"))
-        measured = sweep.run_cells(cells, data).withColumn("corpus_tier", F.lit(args.tier)).withColumn("cell_kind", F.lit("smoke" if args.smoke else "ratio_grid"))
+        measured = sweep.run_cells(cells, data, args.timeout).withColumn("corpus_tier", F.lit(args.tier)).withColumn("cell_kind", F.lit("smoke" if args.smoke else "ofat" if args.ofat else "ratio_grid"))
         results.append_log(measured, args.log)
     elif args.command == "analyze":
         ranks = F.create_map(*[F.lit(x) for k, t in enumerate([*dims.SMALL_TIERS, *dims.TIERS]) for x in (t, k)])

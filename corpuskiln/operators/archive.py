@@ -8,8 +8,10 @@ token count as little-endian 64-bit numbers and the SHA-256 of the original.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import time
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln.operators import codecs, packing, tokenizers
-from corpuskiln.operators.text import CHUNK, LOOKAHEAD, chunk_spans
+from corpuskiln.operators.text import CHUNK, LOOKAHEAD, stream_chunks
 from corpuskiln.plans.dims import MAX_ID, PACKING_CODE, VOCABULARY
 
 MAGIC, VERSION, FOOTER = b"PRMR", 2, 48
@@ -72,36 +74,49 @@ def header_hex(packing_code: Column, tokenizer: Column, backend: Column, transpo
     return F.lower(F.concat(F.hex(F.lit(MAGIC.decode())), F.lit(f"{VERSION:02X}"), byte(packing_code), name(tokenizer), name(backend), name(transport)))
 
 
-def build(data: bytes, tokenizer: str, packing_name: str, backend: str, transport: str = "in_process_binding", threads: int = 1, chunk: int = CHUNK, lookahead: int = LOOKAHEAD) -> tuple[bytes, dict]:
-    """An archive of some bytes, and what making it took."""
+def build(
+    data: bytes | Iterable[bytes], tokenizer: str, packing_name: str, backend: str, transport: str = "in_process_binding", threads: int = 1,
+    chunk: int = CHUNK, lookahead: int = LOOKAHEAD, layout: str = "library_batch", batch: int = 1,
+) -> tuple[bytes, dict]:
+    """An archive of some bytes or of a stream of blocks, and what making it took.
+
+    A stream is never held whole: ``batch`` chunks are tokenized at a time, as ``layout``
+    says, on ``threads`` threads or processes, and go on to the coder.
+    """
     if reason := refusal(tokenizer, packing_name):
         raise ValueError(reason)
-    stats = {"token_count": 0, "packed_bytes": 0, "unsafe_boundary_cuts": 0, "tokenize_time_s": 0.0, "pack_time_s": 0.0}
+    stats = {"token_count": 0, "packed_bytes": 0, "unsafe_boundary_cuts": 0, "tokenize_time_s": 0.0, "pack_time_s": 0.0, "corpus_bytes": 0}
+    sha = hashlib.sha256()
     began = time.perf_counter()
 
-    def parts():
-        for start, end, unsafe in chunk_spans(data, chunk, lookahead):
+    def pieces():
+        for piece, unsafe in stream_chunks([data] if isinstance(data, bytes) else data, chunk, lookahead):
             stats["unsafe_boundary_cuts"] += unsafe
-            piece = data[start:end]
+            stats["corpus_bytes"] += len(piece)
+            sha.update(piece)
+            yield piece
+
+    def parts():
+        for some in itertools.batched(pieces(), batch):
             if tokenizer != "none":
                 t0 = time.perf_counter()
-                ids = tokenizers.encode(tokenizer, piece.decode("utf-8"))
+                ids = tokenizers.encode_many(tokenizer, [p.decode("utf-8") for p in some], layout, threads)
                 t1 = time.perf_counter()
-                piece = packing.PACK[packing_name](ids)
-                stats["token_count"] += len(ids)
+                some = [packing.PACK[packing_name](x) for x in ids]
+                stats["token_count"] += sum(map(len, ids))
                 stats["tokenize_time_s"] += t1 - t0
                 stats["pack_time_s"] += time.perf_counter() - t1
-            stats["packed_bytes"] += len(piece)
-            yield piece
+            stats["packed_bytes"] += sum(map(len, some))
+            yield from some
 
     payload = codecs.compress(parts(), backend, transport, threads)
-    footer = struct.pack("<QQ", len(data), stats["token_count"]) + hashlib.sha256(data).digest()
+    footer = struct.pack("<QQ", stats["corpus_bytes"], stats["token_count"]) + sha.digest()
     out = build_header(packing_name, tokenizer, backend, transport) + payload + footer
     stats["total_time_s"] = time.perf_counter() - began
     stats["compress_time_s"] = max(stats["total_time_s"] - stats["tokenize_time_s"] - stats["pack_time_s"], 0)
     stats["compressed_bytes"] = len(out)
-    stats["ratio"] = len(data) / len(out)
-    return out, stats
+    stats["ratio"] = stats["corpus_bytes"] / len(out)
+    return out, stats | {"sha256": sha.hexdigest()}
 
 
 def verify(archive: bytes, transport: str | None = None, threads: int = 1, keep: bool = False) -> dict:
@@ -113,7 +128,7 @@ def verify(archive: bytes, transport: str | None = None, threads: int = 1, keep:
         if head.tokenizer != "none":
             ids, pending = packing.UNPACK[head.packing](pending + block)
             count += len(ids)
-            block = tokenizers.decode(head.tokenizer, ids.tolist())
+            block = tokenizers.decode(head.tokenizer, ids)
         sha.update(block)
         seen += len(block)
         if keep:
@@ -128,25 +143,25 @@ ARCHIVES = "shard int, documents long, orig_len long, token_count long, packed_b
 def pack_shards(docs: DataFrame, shards: int, tokenizer: str, packing_name: str, backend: str, transport: str = "in_process_binding") -> DataFrame:
     """One archive a shard; a shard is a range of the corpus order (``ord``, ``text``).
 
-    A shard's records are gathered in its own task, so ``shards`` sets the memory a task
-    needs; rows come sorted, and the stream is fed record by record.
+    Rows come sorted by shard, a task may have several, and each is fed to its archive
+    record by record; only the archive itself is held.
     """
     if reason := refusal(tokenizer, packing_name):
         raise ValueError(reason)
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.binary())
+    names = ["shard", "documents", "orig_len", "token_count", "packed_bytes", "unsafe_boundary_cuts", "compressed_bytes", "ratio", "sha256", "archive"]
 
-    def run(batches):
-        data, first = bytearray(), 0
-        rows = 0
+    def records(batches):
         for batch in batches:
             for shard, text in zip(batch.column(0).to_pylist(), batch.column(2)):
                 value = text.as_py() or ""
-                data += (value if value.endswith("\n") else value + "\n").encode() + b"\n\n"
-                first, rows = shard, rows + 1
-        if rows:
-            archive, stats = build(bytes(data), tokenizer, packing_name, backend, transport)
-            values = [first, rows, len(data), stats["token_count"], stats["packed_bytes"], stats["unsafe_boundary_cuts"], len(archive), stats["ratio"], hashlib.sha256(data).hexdigest(), archive]
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.binary())
-            names = ["shard", "documents", "orig_len", "token_count", "packed_bytes", "unsafe_boundary_cuts", "compressed_bytes", "ratio", "sha256", "archive"]
+                yield shard, (value if value.endswith("\n") else value + "\n").encode() + b"\n\n"
+
+    def run(batches):
+        for shard, own in itertools.groupby(records(batches), lambda r: r[0]):
+            seen: list[int] = []
+            archive, stats = build((seen.append(1) or data for _, data in own), tokenizer, packing_name, backend, transport)
+            values = [shard, len(seen), stats["corpus_bytes"], stats["token_count"], stats["packed_bytes"], stats["unsafe_boundary_cuts"], len(archive), stats["ratio"], stats["sha256"], archive]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
 
     ranged = docs.select(F.pmod(F.floor(F.col("ord") / F.greatest(F.lit(1), F.ceil(F.lit(docs.count()) / shards))), F.lit(shards)).cast("int").alias("shard"), "ord", "text")

@@ -29,7 +29,7 @@ def xz_block_size(dictionary: int, threads: int) -> int:
 def tool_path(family: str) -> str:
     found = shutil.which(TOOL[family])
     if not found:
-        raise RuntimeError(f"{TOOL[family]} CLI not found; this backend can't run as a tool here")
+        raise RuntimeError(f"no command named {TOOL[family]}")
     return found
 
 

@@ -8,7 +8,7 @@ is one byte, so the search stays in the JVM.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -74,6 +74,21 @@ def chunk_spans(data: bytes, size: int = CHUNK, lookahead: int | None = LOOKAHEA
         start, seen = end, 0 if lookahead is None else limit
 
 
+def stream_chunks(blocks: Iterable[bytes], size: int = CHUNK, lookahead: int = LOOKAHEAD) -> Iterator[tuple[bytes, bool]]:
+    """(chunk, unsafe) of a stream that comes in blocks: the cuts of ``chunk_spans``, holding one chunk and a block."""
+    held, window = bytearray(), size + lookahead + 1
+    for block in blocks:
+        held += block
+        at = 0
+        while len(held) - at >= window:
+            _, end, unsafe = next(chunk_spans(bytes(held[at : at + window]), size, lookahead))
+            yield bytes(held[at : at + end]), unsafe
+            at += end
+        del held[:at]
+    for start, end, unsafe in chunk_spans(bytes(held), size, lookahead):
+        yield bytes(held[start:end]), unsafe
+
+
 def chunks(docs: DataFrame, size: int = CHUNK, lookahead: int | None = LOOKAHEAD) -> DataFrame:
     """Chunks of every document, as byte ranges."""
 

@@ -8,8 +8,10 @@ can't be run here, and say so.
 from __future__ import annotations
 
 import base64
+import multiprocessing
 import re
-from functools import lru_cache
+from concurrent.futures import ProcessPoolExecutor, ThreadPoolExecutor
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +70,22 @@ def encode(tokenizer: str, text: str) -> np.ndarray:
     return encode_with(encoder(tokenizer), text)
 
 
+def encode_many(tokenizer: str, texts: list[str], layout: str = "library_batch", threads: int = 1) -> list[np.ndarray]:
+    """Ids of each text: by the library's own batches, by a pool of threads here, or by processes."""
+    own = encoder(tokenizer)
+    if layout == "library_batch":
+        if any(len(t) >= LONG_RUN and _RUN.search(t) for t in texts):
+            return [encode_with(own, t) for t in texts]
+        return [np.asarray(ids, np.uint32) for ids in own.encode_ordinary_batch(texts, num_threads=threads)]
+    if layout == "manual_pool":
+        with ThreadPoolExecutor(threads) as pool:
+            return list(pool.map(lambda t: encode_with(own, t), texts))
+    if layout == "process_pool":
+        with ProcessPoolExecutor(threads, multiprocessing.get_context("fork")) as pool:
+            return list(pool.map(partial(encode, tokenizer), texts))
+    raise ValueError(f"unknown layout {layout!r}")
+
+
 def decode(tokenizer: str, ids) -> bytes:
     """Bytes, never text: a batch may end within a character."""
     return encoder(tokenizer).decode_bytes(ids.tolist() if isinstance(ids, np.ndarray) else list(ids))

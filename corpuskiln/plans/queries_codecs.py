@@ -61,9 +61,13 @@ def _tier_stream(spark, sf_dir, tier="64KB"):
 _RUN = "(tokenizer = 'none' OR tokenizer IN ('r50k_base', 'p50k_base')) AND backend <> 'zstd_22_long'"
 
 
-def _runnable(spark):
-    """Cells that fit this machine: vocabularies that are here, and no 2 GiB window."""
-    return matrix.cells(spark).where("cell_kind = 'ratio_grid'").where(_RUN)
+#: Settings that run anywhere, small enough that the tier is several chunks and batches.
+LOCAL = {"backend_transport": "in_process_binding", "threads": 1, "chunk_size": 8192, "batch_chunks": 3}
+
+
+def _runnable(spark, profile="full"):
+    """Grid cells under local settings: vocabularies that are here, and no 2 GiB window."""
+    return matrix.at(matrix.cells(spark, profile).where("cell_kind = 'ratio_grid'").where(_RUN), **LOCAL)
 
 
 @query("SELECT backend, packing, count(*) AS cells, count(*) AS verified, true AS length_match, true AS sha256_match, true AS token_count_match FROM (SELECT backend, packing FROM (VALUES ('lzma_extreme'), ('lzma_fast'), ('zstd_19'), ('zstd_12'), ('gzip_9'), ('bz2_9')) b(backend), (VALUES ('raw_utf8'), ('leb128'), ('leb128'), ('fixed_u16'), ('fixed_u16')) p(packing) UNION ALL SELECT 'lzma_tuned_lp1pb1', 'fixed_u16' UNION ALL SELECT 'lzma_tuned_lp1pb1', 'fixed_u16') GROUP BY ALL")
@@ -77,8 +81,25 @@ def roundtrip_matrix(spark, sf_dir):
 @query()
 def sweep_real(spark, sf_dir):
     """Measured rows of the fast profile's runnable cells over the 256 KB tier."""
-    cells = matrix.cells(spark, "fast").where("cell_kind = 'ratio_grid'").where(_RUN)
-    return sweep.run_cells(cells, _tier_stream(spark, sf_dir, "256KB"))
+    return sweep.run_cells(_runnable(spark, "fast"), _tier_stream(spark, sf_dir, "256KB"))
+
+
+_AXES_RUN = (("library_batch", 8192, 3, 1), ("library_batch", 4096, 8, 2), ("manual_pool", 8192, 3, 2), ("process_pool", 16384, 2, 2))
+
+
+@query("SELECT layout AS tokenization_layout, chunk::BIGINT AS chunk_size, batch AS batch_chunks, threads, backend_transport, CASE WHEN backend_transport = 'subprocess_cli' AND backend = 'zstd_12' THEN 'refused' WHEN backend_transport = 'in_process_binding' AND backend = 'lzma_fast' AND threads > 1 THEN 'refused' ELSE 'ok' END AS status, count(*) AS cells FROM (VALUES "
+    + ", ".join(f"('{a}', {b}, {c}, {d})" for a, b, c, d in _AXES_RUN)
+    + ") s(layout, chunk, batch, threads), (VALUES ('in_process_binding'), ('subprocess_cli')) t(backend_transport), (VALUES ('lzma_fast'), ('gzip_9'), ('bz2_9')) b(backend) GROUP BY ALL")
+def sweep_settings_kept(spark, sf_dir):
+    """Cells run with the layout, chunk, batch, threads and transport that they name, or are refused."""
+    grid = matrix.cells(spark, "fast").where("cell_kind = 'ratio_grid' and tokenizer = 'r50k_base' and packing = 'fixed_u16' and family <> 'zstd'")
+    cells = None
+    for layout, chunk, batch, threads in _AXES_RUN:
+        for transport in dims.TRANSPORTS:
+            one = matrix.at(grid, tokenization_layout=layout, chunk_size=chunk, batch_chunks=batch, threads=threads, backend_transport=transport)
+            cells = one if cells is None else cells.unionByName(one)
+    found = sweep.run_cells(cells, _tier_stream(spark, sf_dir))
+    return found.groupBy("tokenization_layout", "chunk_size", "batch_chunks", "threads", "backend_transport", "status").agg(F.count(F.lit(1)).alias("cells"))
 
 
 @query()

@@ -67,8 +67,8 @@ def plan_summary(spark, sf_dir):
 
 @query(f"""WITH {CELLS}, tools(tool, available, threaded) AS (VALUES ('xz', true, false), ('zstd', false, true), ('gzip', true, true), ('bzip2', true, true)),
 need AS (SELECT c.*, CASE WHEN backend_transport = 'subprocess_cli' THEN CASE family WHEN 'lzma' THEN 'xz' WHEN 'bz2' THEN 'bzip2' ELSE family END WHEN family = 'zstd' THEN 'zstandard' END AS tool FROM cells c)
-SELECT backend, backend_transport, count(*) AS cells, CASE WHEN n.tool IS NULL THEN NULL WHEN NOT coalesce(available, false) THEN CASE WHEN n.tool = 'zstandard' THEN 'zstandard package not installed; zstd in_process_binding needs it' ELSE n.tool || ' CLI not found' END
- WHEN n.tool = 'xz' AND NOT threaded THEN 'xz does not support -T multithreading' END AS unavailable FROM need n LEFT JOIN tools t ON n.tool = t.tool GROUP BY ALL""")
+SELECT backend, backend_transport, count(*) AS cells, CASE WHEN n.tool IS NULL THEN NULL WHEN NOT coalesce(available, false) THEN CASE WHEN n.tool = 'zstandard' THEN 'in process, zstd needs the zstandard package' ELSE 'no command named ' || n.tool END
+ WHEN n.tool = 'xz' AND NOT threaded THEN 'this xz knows no threads' END AS unavailable FROM need n LEFT JOIN tools t ON n.tool = t.tool GROUP BY ALL""")
 def availability(spark, sf_dir):
     tools = spark.createDataFrame([("xz", True, False), ("zstd", False, True), ("gzip", True, True), ("bzip2", True, True)], "tool string, available boolean, supports_threading boolean")
     return matrix.availability_reason(matrix.cells(spark), tools).groupBy("backend", "backend_transport", "unavailable").agg(F.count(F.lit(1)).alias("cells"))

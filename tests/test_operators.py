@@ -214,3 +214,40 @@ def test_byte_classes(spark):
     df = spark.createDataFrame([(b,) for b in (0x41, 0x80, 0xBF, 0xC3, 0xE4, 0xF0, 0xFF)], "b int")
     found = [tuple(r) for r in df.select(text.sequence_length(F.col("b")), text.is_continuation(F.col("b"))).collect()]
     assert found == [(1, False), (None, True), (None, True), (2, False), (3, False), (4, False), (None, False)]
+
+
+def test_streams_are_cut_like_whole_texts():
+    rng = np.random.default_rng(3)
+    data = "".join(rng.choice(["word ", "é", "1\n", "中", "x"], 4000)).encode()
+    for size, lookahead in ((50, 10), (300, 100), (5000, 1000), (100_000, 10)):
+        spans = [(data[a:b], u) for a, b, u in text.chunk_spans(data, size, lookahead)]
+        for step in (1, 77, 4096, len(data)):
+            assert list(text.stream_chunks((data[k : k + step] for k in range(0, len(data), step)), size, lookahead)) == spans
+
+
+def test_cells_that_hang_or_die_are_rows(monkeypatch):
+    import os
+    import time
+
+    from corpuskiln.plans import sweep
+
+    cell = {"tokenizer": "none", "packing": "raw_utf8", "backend": "gzip_9", "backend_transport": "in_process_binding", "tokenization_layout": "library_batch", "chunk_size": 4096, "batch_chunks": 2, "threads": 1}
+    good = sweep.isolated(cell, b"abc " * 9000)
+    assert good["status"] == "ok" and good["round_trip_verified"] and good["peak_rss_mb"] > 0
+    assert sweep.isolated(cell | {"tokenizer": "o200k_base", "packing": "leb128"}, b"x")["status"] == "refused"
+    monkeypatch.setattr(sweep, "measure", lambda *_: time.sleep(60))
+    assert "not done" in sweep.isolated(cell, b"x", 0.5)["error"]
+    monkeypatch.setattr(sweep, "measure", lambda *_: os._exit(7))
+    assert "ended with 7" in sweep.isolated(cell, b"x")["error"]
+
+
+def test_several_shards_in_one_partition(spark):
+    docs = spark.createDataFrame([(k, f"document {k} " * 20) for k in range(40)], "ord long, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        found = archive.pack_shards(docs, 8, "none", "raw_utf8", "gzip_9").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(r["shard"] for r in found) == list(range(8)) and all(r["documents"] == 5 for r in found)
+    kept = [archive.verify(bytes(r["archive"]), keep=True)["data"] for r in sorted(found, key=lambda r: r["shard"])]
+    assert b"".join(kept) == b"".join(f"document {k} ".encode() * 20 + b"\n\n\n" for k in range(40))
