@@ -9,11 +9,15 @@ import sys
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuskiln.functions import scalars
 from corpuskiln.operators import archive
 from corpuskiln.operators.packing import leb128_bytes, leb128_ids, u16_bytes, u16_ids
-from corpuskiln.plans import dims, matrix, reports, sweep, verify
+from corpuskiln.plans import dims, matrix, programme, reports, sweep, verify
 from corpuskiln.session import session
-from corpuskiln.sources import corpus, resources, results
+from corpuskiln.sources import corpus, files, resources, results
+
+
+AXES = ("threads", "layout", "transport", "chunk_size", "batch_chunks")
 
 
 def selftest() -> bool:
@@ -59,12 +63,32 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--batch-chunks", type=int, default=dims.BASE_BATCH)
     p.add_argument("--timeout", type=float, default=sweep.TIMEOUT, help="seconds for each cell")
     p.add_argument("--ofat", action="store_true", help="run the cells that change one axis at a time, by their own settings")
+    p.add_argument("--axes", help="only these axes, by commas: " + ", ".join(AXES))
     p.add_argument("--no-resume", action="store_true")
     p.add_argument("--row-id", help="run this one cell again, whatever the log says")
     p.add_argument("--smoke", action="store_true", help="run one cell of each packing, logged as smoke rows")
     p = one("resources", "show what driver and cluster can do")
     p = one("analyze", "answer the report questions from a log")
     p.add_argument("log")
+    p.add_argument("--out", help="a folder for report.md and all rows as CSV")
+    p = one("prune", "rewrite a log without the rows of a backend family and transport; the former log is kept")
+    p.add_argument("log")
+    p.add_argument("--backend-prefix", default="lzma")
+    p.add_argument("--transport", default="in_process_binding")
+    p.add_argument("--dry-run", action="store_true")
+    p = one("build", "write the records of every tier that a documents table reaches, with metadata")
+    p.add_argument("documents")
+    p.add_argument("out")
+    p.add_argument("--tiers", default=",".join(dims.SMALL_TIERS), help="sizes by commas")
+    p.add_argument("--seed", type=int, default=corpus.SEED)
+    p = one("verify-tiers", "hold a built corpus against its metadata")
+    p.add_argument("out")
+    p = one("programme", "run all sweeps and reports, the most telling first")
+    p.add_argument("documents")
+    p.add_argument("log")
+    p.add_argument("out")
+    p.add_argument("--tiers", default="64KB,256KB,1MB", help="names by commas, the least first")
+    p.add_argument("--plan", action="store_true", help="show the stages without running them")
     one("boundaries", "check that splitting never changes tokens")
     one("selftest", "check packing at its edges")
     return parser
@@ -93,7 +117,9 @@ def main(argv: list[str] | None = None) -> int:
         print(markdown(found.where("reason is null").groupBy("cell_kind").count().orderBy("cell_kind")))
         print(markdown(found.where("reason is not null").groupBy("reason").count().orderBy(F.desc("count"), "reason")))
     elif args.command == "sweep":
-        cells = matrix.cells(spark, args.profile).where(F.col("cell_kind").startswith("ofat") if args.ofat else F.col("cell_kind") == "ratio_grid")
+        if args.axes and not set(args.axes.split(",")) <= set(AXES):
+            raise SystemExit(f"axes are {', '.join(AXES)}")
+        cells = matrix.cells(spark, args.profile, axes=tuple(args.axes.split(",")) if args.axes else None).where(F.col("cell_kind").startswith("ofat") if args.ofat else F.col("cell_kind") == "ratio_grid")
         cells = cells.where(F.col("tokenizer").isin("none", "r50k_base", "p50k_base"))
         if not args.ofat:  # cells of one axis at a time keep their own settings
             cells = matrix.at(cells, backend_transport=args.transport, tokenization_layout=args.layout, threads=args.threads, chunk_size=args.chunk_size, batch_chunks=args.batch_chunks)
@@ -115,13 +141,33 @@ def main(argv: list[str] | None = None) -> int:
         members = corpus.tier_members(docs, dims.small_tiers(spark)).where(F.col("corpus_tier") == args.tier)
         stream = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]), "")
         data = docs.join(members.select("doc_id", "ord"), "doc_id").select(F.struct("ord", corpus.record(F.col("text")).alias("r")).alias("x")).agg(F.encode(stream, "UTF-8").alias("data"))
-        measured = sweep.run_cells(cells, data, args.timeout).withColumn("corpus_tier", F.lit(args.tier)).withColumn("cell_kind", F.lit("smoke" if args.smoke else "ofat" if args.ofat else "ratio_grid"))
-        results.append_log(measured, args.log)
+        measured = sweep.run_cells(cells, data, args.timeout, ("cell_kind",)).withColumn("corpus_tier", F.lit(args.tier))
+        results.append_log(measured.withColumn("cell_kind", F.lit("smoke")) if args.smoke else measured, args.log)
     elif args.command == "analyze":
         ranks = F.create_map(*[F.lit(x) for k, t in enumerate([*dims.SMALL_TIERS, *dims.TIERS]) for x in (t, k)])
-        rows = results.verified(results.latest(results.read_log(spark, args.log))).withColumn("tier_rank", ranks[F.col("corpus_tier")])
-        for title, found in (("gaps", reports.gap_verdicts(rows)), ("packing", reports.packing_effect(rows)), ("best ratios", reports.top(rows, "ratio")), ("fastest", reports.top(rows, "throughput_mbps"))):
-            print(f"\n### {title}\n\n{markdown(found)}")
+        rows = results.latest(results.read_log(spark, args.log)).withColumn("tier_rank", ranks[F.col("corpus_tier")])
+        tiers = [r[0] for r in rows.groupBy("corpus_tier").agg(F.min("tier_rank").alias("n")).orderBy("n").collect()]
+        text = "\n".join(f"\n### {title}\n\n{markdown(found)}" for title, found in reports.sections(rows, tiers))
+        print(text)
+        if args.out:
+            files.write_text(spark, f"{args.out}/report.md", f"# Report\n{text}\n")
+            results.write_csv(rows.drop("tier_rank", "source_file", "line"), f"{args.out}/rows")
+    elif args.command == "prune":
+        gone = results.prune(spark, args.log, results.is_stale(args.backend_prefix, args.transport), args.dry_run)
+        print(f"{gone.count()} rows {'would go' if args.dry_run else 'gone'}\n\n{markdown(gone)}")
+    elif args.command == "build":
+        sizes = spark.createDataFrame([(t,) for t in args.tiers.split(",")], "corpus_tier string").withColumn("target_bytes", scalars.parse_size(F.col("corpus_tier")))
+        corpus.write_tiers(spark, spark.read.parquet(args.documents), sizes, args.out, args.seed)
+        print(markdown(spark.read.json(f"{args.out}/meta").drop("doc_separator").orderBy("target_bytes")))
+    elif args.command == "verify-tiers":
+        found = corpus.verify_tiers(spark, args.out).orderBy("bytes")
+        print(markdown(found))
+        return 0 if not found.where(~F.col("ok")).head(1) else 1
+    elif args.command == "programme":
+        for title, arguments in programme.stages(args.documents, args.log, args.out, args.tiers.split(",")):
+            print(f"\n## {title}\n\n    {' '.join(arguments)}")
+            if not args.plan:
+                main(arguments)
     elif args.command == "resources":
         print(json.dumps(resources.snapshot() | resources.cluster(spark), indent=1))
         print(markdown(resources.tools(spark)))

@@ -181,3 +181,31 @@ def estimate(cells: DataFrame, log: DataFrame, corpus_bytes: int, free_bytes: in
     disk = F.floor(F.lit(float(corpus_bytes)) / F.greatest(F.coalesce("r", F.lit(3.0)), F.lit(0.1))).cast("long")
     out = joined.agg(F.count(F.lit(1)).alias("cells"), F.count_if(c.isNull()).alias("cells_without_prior"), F.coalesce(F.sum(seconds), F.lit(0.0)).alias("wall_clock_s"), F.coalesce(F.max(disk), F.lit(0)).alias("peak_disk_bytes"))
     return out.withColumn("allowed", F.col("peak_disk_bytes") * 2 <= F.lit(free_bytes))
+
+
+def sections(log: DataFrame, tiers: list[str]) -> list[tuple[str, DataFrame]]:
+    """Titles and relations of the whole report over a log; each as small as the matrix.
+
+    ``log`` has the latest rows, verified or not, with ``tier_rank``.
+    """
+    rows = log.where(F.col("round_trip_verified").eqNullSafe(True))
+    unsure = log.where(~F.col("round_trip_verified").eqNullSafe(True)).select("row_id", "corpus_tier", "backend", F.left(F.coalesce("error", F.lit("")), F.lit(200)).alias("error"))
+    cuts = rows.where("unsafe_boundary_cuts > 0").groupBy("corpus_tier").agg(F.count(F.lit(1)).alias("rows"), F.sum("unsafe_boundary_cuts").alias("cuts"))
+    found = [
+        ("gaps", gap_verdicts(rows), ["backend", "pipeline"]),
+        ("packing", packing_effect(rows), ["corpus_tier", "tokenizer"]),
+        ("layouts", layout_compare(rows), LAYOUT_KEYS),
+        ("layouts that win", layout_wins(rows), ["comparable"]),
+        ("threads", thread_scaling(rows), [*THREAD_KEYS, "threads"]),
+        ("mean ratio cost of threads", thread_cost_mean(rows), ["backend"]),
+        ("best ratios", top(rows, "ratio"), ["corpus_tier", "place"]),
+        ("fastest", top(rows, "throughput_mbps"), ["corpus_tier", "place"]),
+        ("best against raw", best_vs_raw(rows), ["backend", "corpus_tier"]),
+        ("rows not verified", unsure, ["corpus_tier", "row_id"]),
+        ("unsafe cuts", cuts, ["corpus_tier"]),
+        ("figure: gap curves", gap_curves(rows), ["pipeline", "backend", "corpus_tier"]),
+        ("figure: ratios by tier", ratio_multiples(rows, tuple(tiers)), ["backend", "pipeline"]),
+        ("figure: packing steps", packing_steps(rows), ["corpus_tier", "tokenizer", "step"]),
+        *((f"figure: best trade-offs at {tier}", pareto(rows, tier), ["throughput_mbps", "row_id"]) for tier in tiers),
+    ]
+    return [(title, part.orderBy(*order)) for title, part, order in found]

@@ -92,16 +92,17 @@ def isolated(cell: dict, data: bytes, seconds: float = TIMEOUT) -> dict:
         child.join()
 
 
-def run_cells(cells: DataFrame, corpus: DataFrame, seconds: float = TIMEOUT) -> DataFrame:
+def run_cells(cells: DataFrame, corpus: DataFrame, seconds: float = TIMEOUT, carried: tuple[str, ...] = ()) -> DataFrame:
     """A measured row for each cell over the stream that ``corpus`` (one row, ``data``) holds.
 
-    Every task runs one cell. The stream is sent to all of them, so one of more than
+    The ``carried`` text columns of the cells come last, as they are. Every task runs one cell. The stream is sent to all of them, so one of more than
     ``MOST_STREAM`` bytes is refused.
     """
     size = corpus.agg(F.max(F.octet_length("data"))).first()[0] or 0
     if size > MOST_STREAM:
         raise ValueError(f"a stream of {size} bytes is more than the {MOST_STREAM} that a task takes")
-    names = ["row_id", *KEYS]
+    names = ["row_id", *KEYS, *carried]
+    columns, types = [*_NAMES, *carried], [*_TYPES, *[pa.string()] * len(carried)]
     work = cells.select(names).repartition(max(1, cells.count())).crossJoin(F.broadcast(corpus.select("data")))
 
     def run(batches):
@@ -109,6 +110,6 @@ def run_cells(cells: DataFrame, corpus: DataFrame, seconds: float = TIMEOUT) ->
             for k in range(batch.num_rows):
                 cell = {n: batch.column(i)[k].as_py() for i, n in enumerate(names)}
                 row = cell | isolated(cell, batch.column(len(names))[k].as_py() or b"", seconds)
-                yield pa.RecordBatch.from_arrays([pa.array([row.get(n)], t) for n, t in zip(_NAMES, _TYPES)], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array([row.get(n)], t) for n, t in zip(columns, types)], columns)
 
-    return work.mapInArrow(run, MEASURED)
+    return work.mapInArrow(run, ", ".join([MEASURED, *(f"{n} string" for n in carried)]))

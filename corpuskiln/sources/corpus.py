@@ -91,3 +91,42 @@ def corpus_identity(spark: SparkSession, docs: DataFrame, meta: DataFrame | None
     if meta is None:
         return own.select(F.lit(None).cast("string").alias("tier"), F.col("counted_bytes").alias("bytes"), F.col("manifest_sha256").alias("sha256"))
     return own.crossJoin(F.broadcast(meta)).select("tier", F.coalesce("bytes", "counted_bytes").alias("bytes"), F.coalesce("sha256", "manifest_sha256").alias("sha256"))
+
+
+def write_tiers(spark: SparkSession, docs: DataFrame, tiers: DataFrame, out: str, seed: int = SEED) -> None:
+    """Builds the corpus: ``records`` by tier in their order, and ``meta``, one line a tier.
+
+    Documents without text are left out and counted as skipped; tiers that the documents don't
+    reach are not written.
+    """
+    known = docs.where("text is not null")
+    members = tier_members(known, tiers, seed).join(known.select("doc_id", "text"), "doc_id")
+    rows = members.select("corpus_tier", "ord", record(F.col("text")).alias("record"))
+    rows.repartitionByRange("corpus_tier", "ord").sortWithinPartitions("corpus_tier", "ord").write.mode("overwrite").partitionBy("corpus_tier").parquet(f"{out}/records")
+    skipped = docs.where("text is null").agg(F.count(F.lit(1)).alias("skipped"))
+    found = tier_digests(spark.read.parquet(f"{out}/records")).join(F.broadcast(tiers.select("corpus_tier", "target_bytes")), "corpus_tier").crossJoin(F.broadcast(skipped))
+    fixed = found.withColumns({"shuffle_seed": F.lit(seed), "doc_separator": F.lit("\n\n"), "built_utc": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")})
+    fixed.coalesce(1).write.mode("overwrite").json(f"{out}/meta")
+
+
+def tier_digests(records: DataFrame) -> DataFrame:
+    """Documents, bytes and a digest of each tier, and whether every record ends as it must.
+
+    The digest is over those of runs of 65,536 places, so no task holds a tier.
+    """
+    runs = records.groupBy("corpus_tier", F.floor(F.col("ord") / 65536).alias("run")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("record")).alias("b"), F.bool_and(F.endswith("record", F.lit("\n\n"))).alias("e"),
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.sha2(F.col("record").cast("binary"), 256).alias("sha")))), lambda x: x["sha"]), ""), 256).alias("d"),
+    )
+    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "d"))), lambda x: x["d"]), ""), 256)
+    return runs.groupBy("corpus_tier").agg(F.sum("n").alias("documents"), F.sum("b").alias("bytes"), whole.alias("sha256"), F.bool_and("e").alias("ends_right"))
+
+
+def verify_tiers(spark: SparkSession, out: str) -> DataFrame:
+    """A built corpus against its metadata: ``ok`` for each tier that either of them names."""
+    now = tier_digests(spark.read.parquet(f"{out}/records"))
+    said = spark.read.schema("corpus_tier string, target_bytes long, documents long, bytes long, sha256 string").json(f"{out}/meta")
+    same = [F.col(f"now.{c}").eqNullSafe(F.col(f"said.{c}")) for c in ("documents", "bytes", "sha256")]
+    both = now.alias("now").join(said.alias("said"), "corpus_tier", "full")
+    ok = F.coalesce(same[0] & same[1] & same[2] & F.col("now.ends_right") & (F.col("now.bytes") >= F.col("said.target_bytes")), F.lit(False))
+    return both.select("corpus_tier", "now.documents", "now.bytes", "now.sha256", ok.alias("ok"))

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corpuskiln import cli
 from corpuskiln.operators.text import chunk_spans
 from corpuskiln.sources import corpus, results
 from corpuskiln.streaming import carry
@@ -29,6 +30,30 @@ def test_log_append_and_csv(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["row_id", "ratio", "note"]
 
 
+def test_later_appends_win(spark, tmp_path):
+    log = str(tmp_path / "log")
+    for ratio in (1.0, 2.0, 3.0):
+        results.append_log(spark.createDataFrame([("a", "1MB", ratio)], "row_id string, corpus_tier string, ratio double"), log)
+    assert [r["ratio"] for r in results.latest(results.read_log(spark, log)).collect()] == [3.0]
+
+
+def test_prune_rewrites_and_keeps_the_former_log(spark, tmp_path, capsys):
+    old = {"row_id": "a", "corpus_tier": "1MB", "backend": "lzma_fast", "backend_transport": "in_process_binding"}
+    kept = [json.dumps(old | {"row_id": "b", "backend": "zstd_12", "ratio": 2.0}), "{broken", json.dumps(old | {"row_id": "c", "backend_transport": "subprocess_cli", "unknown": 1}), json.dumps(old | {"row_id": "b", "backend": "zstd_12", "ratio": 1.0})]
+    log = tmp_path / "log.jsonl"
+    for round_ in range(2):  # the second one replaces the first backup
+        lines = [json.dumps(old), "", *kept]
+        if not round_:
+            log.write_text("\n".join(lines) + "\n")
+        assert cli.main(["prune", str(log), "--dry-run"]) == 0 and not (tmp_path / "log.jsonl.new").exists()
+        assert cli.main(["prune", str(log)]) == 0
+        assert [r["value"] for r in spark.read.text(str(log)).collect()] == kept
+        assert not (tmp_path / "log.jsonl.new").exists()
+    assert "1 rows would go" in (said := capsys.readouterr().out) and "1 rows gone" in said and "0 rows gone" in said
+    assert {r["row_id"]: r["ratio"] for r in results.latest(results.read_log(spark, str(log))).collect()} == {"b": 1.0, "c": None}
+    assert spark.read.text(str(log) + ".bak").count() == len(kept)
+
+
 def test_file_list(spark, tmp_path):
     path = tmp_path / "list.txt"
     path.write_text(" a.txt \n\n  \nb.txt\n")
