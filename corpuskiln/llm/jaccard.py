@@ -51,6 +51,7 @@ EXTRA, EXTRA_PART = 8, 4
 FREQUENT = 8
 CLASS_TOKENS = 4
 BLOCK = 512
+SALTS = 64
 ORDERS = 4
 TURNS = 3
 BITS = 1024
@@ -245,9 +246,15 @@ def _open_lists(keyed: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(keyed: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list across components."""
-    sizes = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    blocked = keyed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    """All pairs of a list across components.
+
+    A list of more than ``BLOCK`` rows meets its size in ``SALTS`` parts; there are at most a
+    ``BLOCK``-th as many such lists as rows, so their salted sizes are fewer than the rows.
+    """
+    sizes = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    blocked = keyed.withColumn("salt", F.pmod(F.xxhash64(F.lit(SALTS), "doc"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left")
+    blocked = blocked.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     one = lambda name: blocked.select(
         "key", F.struct("doc", "n", "bits", "part").alias(name), F.col("block").alias(f"{name}_block"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),

@@ -96,3 +96,12 @@ def test_prefix_rules():
     for n in range(1, 300):
         need = jaccard.needed(n, 85)
         assert need == -(-85 * n // 100) and jaccard.prefix_length(n, 85) == n - need + 1
+
+
+def test_long_lists_give_all_pairs_across_components(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rows = [(key, doc, 100, [0] * 16, doc % parts) for key, many, parts in ((1, 60, 7), (2, 3, 2), (3, 1, 1)) for doc in range(many)]
+    keyed = spark.createDataFrame(rows, "key long, doc long, n int, bits array<long>, part long")
+    found = sorted(map(tuple, jaccard._cross_pairs(keyed, 85).collect()))
+    wanted = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[4] != b[4]}
+    assert found == sorted(wanted)
