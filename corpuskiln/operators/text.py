@@ -17,6 +17,10 @@ from pyspark.sql.functions import udtf
 
 SAFE = r"(?<=[A-Za-z0-9])[ \t\r\n\x0b\f]"
 _SAFE = re.compile(SAFE.encode())
+#: Where a pre-token of the GPT-2 pattern ends whatever stands around it: a run of letters
+#: (a contraction too) or of digits before another ASCII character, anything before white
+#: space. Both bytes are ASCII, so Unicode tables don't matter.
+_EDGE = re.compile(rb"(?<=[A-Za-z])[\x00-@\[-`{-\x7f]|(?<=[0-9])[\x00-/:-\x7f]|(?<=[!-~])[\t-\r ]")
 CHUNK, LOOKAHEAD = 2 << 20, 64 << 10
 
 
@@ -74,6 +78,24 @@ def chunk_spans(data: bytes, size: int = CHUNK, lookahead: int | None = LOOKAHEA
         start, seen = end, 0 if lookahead is None else limit
 
 
+def sure_spans(data: bytes, size: int = CHUNK, lookahead: int | None = LOOKAHEAD) -> Iterator[tuple[int, int, bool]]:
+    """The chunks of ``chunk_spans`` without its unsafe cuts, for tokenizers of the GPT-2 pattern.
+
+    Such a cut goes back to the last edge of a pre-token, what follows it to the next chunk;
+    where a chunk has no edge, it goes on into the next one.
+    """
+    start, seen = 0, 0
+    for _, end, unsafe in chunk_spans(data, size, lookahead):
+        if unsafe and end < len(data):
+            edges = [m.start() for m in _EDGE.finditer(data, max(start + 1, seen), end)]
+            seen = end
+            if not edges:
+                continue
+            end = edges[-1]
+        yield start, end, False
+        start = end
+
+
 def stream_chunks(blocks: Iterable[bytes], size: int = CHUNK, lookahead: int = LOOKAHEAD) -> Iterator[tuple[bytes, bool]]:
     """(chunk, unsafe) of a stream that comes in blocks: the cuts of ``chunk_spans``, holding one chunk and a block."""
     held, window = bytearray(), size + lookahead + 1

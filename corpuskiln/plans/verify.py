@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln.operators import tokenizers
-from corpuskiln.operators.text import chunk_spans
+from corpuskiln.operators.text import chunk_spans, sure_spans
 
 
 #: Difficulty, a unit, how often it is repeated, and the cuts without a safe place that
@@ -39,8 +39,12 @@ def adversarial_cases() -> list[tuple[str, str]]:
 SPLITS = "case_name string, tokenizer string, whole_tokens long, split_tokens long, chunks int, unsafe_cuts int, identical boolean, first_divergence long"
 
 
-def split_invariance(texts: DataFrame, tokenizer: str, size: int, lookahead: int) -> DataFrame:
-    """Whether the chunks' ids are the whole text's, for every (case_name, text)."""
+def split_invariance(texts: DataFrame, tokenizer: str, size: int, lookahead: int, sure: bool = False) -> DataFrame:
+    """Whether the chunks' ids are the whole text's, for every (case_name, text).
+
+    ``sure``: chunks that the plain rule would cut at an unsafe place are cut elsewhere.
+    """
+    spans_of = sure_spans if sure else chunk_spans
 
     def run(batches):
         for batch in batches:
@@ -49,7 +53,7 @@ def split_invariance(texts: DataFrame, tokenizer: str, size: int, lookahead: int
                 text = value.as_py() or ""
                 data = text.encode()
                 whole = tokenizers.encode(tokenizer, text)
-                spans = list(chunk_spans(data, size, lookahead))
+                spans = list(spans_of(data, size, lookahead))
                 parts = [tokenizers.encode(tokenizer, data[a:b].decode()) for a, b, _ in spans]
                 split = np.concatenate(parts) if parts else whole[:0]
                 common = min(len(whole), len(split))

@@ -98,6 +98,33 @@ def test_chunks_of_runs_without_a_boundary(filler):
         data[a:b].decode()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abS19'’ \t\n.%\x1c\u0301éä²٣中\u00a0\u3000\U0001f600", max_size=300), st.integers(1, 40), st.integers(1, 20))
+def test_sure_chunks_keep_the_ids(value, size, lookahead):
+    data = value.encode()
+    spans = list(text.sure_spans(data, size, lookahead))
+    assert [a for a, *_ in spans] == [0, *(b for _, b, _ in spans)][: len(spans)] and (not data or spans[-1][1] == len(data))
+    for role in tokenizers.STAND_INS:
+        parts = [tokenizers.encode(role, data[a:b].decode()).tolist() for a, b, _ in spans]
+        assert sum(parts, []) == tokenizers.encode(role, value).tolist()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="adelmrstv19' \t\n.%é\u0301", min_size=2, max_size=40))
+def test_every_edge_parts_the_ids(value):
+    data = value.encode()
+    for m in text._EDGE.finditer(data):
+        a, b = data[: m.start()].decode(), data[m.start() :].decode()
+        for role in tokenizers.STAND_INS:
+            assert [*tokenizers.encode(role, a), *tokenizers.encode(role, b)] == tokenizers.encode(role, value).tolist()
+
+
+def test_sure_chunks_are_cut_where_there_is_an_edge():
+    marked, solid = b"Of%%% the&&& anerha$$$ " * 4000, b"x" * 90_000
+    assert [b - a for a, b, _ in text.sure_spans(marked, 1024, 65536)] == [66_558, 25_442]
+    assert list(text.sure_spans(solid, 1024, 65536)) == [(0, 90_000, False)]
+
+
 def test_first_boundary_and_table_function(spark):
     rows = [(1, "ab cd"), (2, "ébc d"), (3, ". , "), (4, ""), (5, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

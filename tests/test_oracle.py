@@ -1,6 +1,8 @@
 """Every core query with a SQL twin gives DuckDB's rows and types."""
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from corpuskiln.plans import catalogue
@@ -40,6 +42,24 @@ def test_other_query_runs(spark, sf, name):
         assert all(r["round_trip_verified"] for r in found)
 
 
+def _matches_sql(spark, folder, name, texts):
+    """A query against its SQL on documents with these texts, ids from 0."""
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    pq.write_table(table, f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
+    df = catalogue.queries()[name](spark, str(folder))
+    expected = con.sql(catalogue.oracle_sql()[name])
+    assert rows(df.columns, df.collect()) == rows(expected.columns, expected.fetchall())
+
+
+def test_documents_without_safe_cuts_are_counted(spark, tmp_path):
+    marked = "Of%%% the&&& anerha$$$ thea*** ha%%% anonre,%%% thor,### "
+    texts = [None, "", " ", "a word", marked * 1300, marked * 4000, "plain words " * 9000, "plain words " * 60 + marked * 1400]
+    texts += ["no-one's,'re'll" * 7000, "é中\u0301" * 15_000, "x" * 90_000, " " * 90_000, "'" * 70_000 + "s b", "7" * 66_560 + "a1" * 9000]
+    _matches_sql(spark, tmp_path, "bpe_split_invariance", texts)
+
+
 def test_entry_imports_without_the_training_operators():
     import __spark_entry__
 
