@@ -16,12 +16,19 @@ def parse_size(text: Column) -> Column:
     return F.floor(number * unit).cast("long")
 
 
-def human(n: Column) -> Column:
-    """Bytes with one decimal and a unit up to PB, without a space."""
+def human(n: Column, last: str = "PB") -> Column:
+    """Bytes with one decimal and a unit up to ``last``, without a space; null for null.
+
+    The decimal is the nearest to the exact binary value, halves to even, as C and Python
+    print it; ``format_string`` would round halves of the shortest decimal up.
+    """
     value = n.cast("double")
-    out = F.format_string("%.1fPB", value / float(_KB**5))
-    for power, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
-        out = F.when(F.abs(value) < float(_KB ** (power + 1)), F.format_string(f"%.1f{unit}", value / float(_KB**power))).otherwise(out)
+    units = ("B", "KB", "MB", "GB", "TB", "PB")
+    units = units[: units.index(last) + 1]
+    shown = [F.concat(F.call_function("format_number", value / float(_KB**power), F.lit("0.0")), F.lit(unit)) for power, unit in enumerate(units)]
+    out = shown.pop()
+    for power, text in reversed(list(enumerate(shown))):
+        out = F.when(F.abs(value) < float(_KB ** (power + 1)), text).otherwise(out)
     return out
 
 

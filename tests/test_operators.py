@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpuskiln.cli import selftest
+from corpuskiln.functions import scalars
 from corpuskiln.operators import archive, codecs, packing, text, tokenizers
 from corpuskiln.plans import dims, matrix, verify
 
@@ -176,6 +177,24 @@ def test_decoding_is_exact_at_every_split(value):
         assert tokenizers.decode("r50k_base", ids[:k]) + tokenizers.decode("r50k_base", ids[k:]) == value.encode()
 
 
+def test_sizes_for_readers(spark):
+    def slow(n):
+        for unit in ("B", "KB", "MB", "GB", "TB"):
+            if abs(n) < 1024:
+                return f"{n:.1f}{unit}"
+            n /= 1024
+        return f"{n:.1f}PB"
+
+    rng = np.random.default_rng(7)
+    values = [0.0, 0.05, 0.15, 0.25, 0.35, 0.75, 0.95, 1.05, 1023.95, 1023.96, -0.25, -1280.0, 1024.0**5, 1.25 * 1024.0**5, 900.05 * 1024.0**4]
+    values += [float(k * 64) * 1024**p for k in range(1, 400) for p in range(5)]
+    values += [float(x) for x in np.concatenate([rng.integers(0, 20_480, 2000) / 20, 2.0 ** rng.uniform(0, 55, 2000), np.floor(2.0 ** rng.uniform(0, 55, 2000))])]
+    df = spark.createDataFrame([*((x,) for x in values), (None,)], "n double")
+    found = {r["n"]: r["size"] for r in df.select("n", scalars.human(F.col("n")).alias("size")).collect()}
+    assert found == {None: None, **{x: slow(x) for x in values}}
+    assert spark.range(2 << 20, (2 << 20) + 1).select(scalars.human(F.col("id"), "KB")).first()[0] == "2048.0KB"
+
+
 def test_matrix_counts(spark):
     grid = matrix.grid_candidates(spark)
     assert (grid.where("reason is null").count(), grid.where("reason is not null").count()) == (51, 69)

@@ -42,9 +42,9 @@ def test_other_query_runs(spark, sf, name):
         assert all(r["round_trip_verified"] for r in found)
 
 
-def _matches_sql(spark, folder, name, texts):
-    """A query against its SQL on documents with these texts, ids from 0."""
-    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+def _matches_sql(spark, folder, name, texts, ids=None):
+    """A query against its SQL on documents with these texts, ids from 0 if none are given."""
+    table = pa.table({"doc_id": pa.array(ids or range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
     pq.write_table(table, f"{folder}/documents.parquet")
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
@@ -60,6 +60,12 @@ def test_documents_without_safe_cuts_are_counted(spark, tmp_path):
     _matches_sql(spark, tmp_path, "bpe_split_invariance", texts)
 
 
+def test_sizes_are_rounded_like_the_sql(spark, tmp_path):
+    lengths = [None, 0, 1, 51, 52, 256, 768, 1023, 1024, 1280, 1792, 2304, 3328, 5376, 104_858, 262_144, 262_400]
+    cases = [(k, n) for n in lengths for k in (*range(20), *range(-20, 0), None)]
+    _matches_sql(spark, tmp_path, "human_bytes", [n if n is None else "é" * (n // 2) + "x" * (n % 2) for _, n in cases], [k for k, _ in cases])
+
+
 def test_entry_imports_without_the_training_operators():
     import __spark_entry__
 
