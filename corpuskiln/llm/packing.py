@@ -16,7 +16,6 @@ of the input are not looked at.
 
 from __future__ import annotations
 
-import heapq
 import zlib
 
 import numpy as np
@@ -63,34 +62,35 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """Slots (length, first rank, count, first sequence, offset) by best-fit decreasing.
 
-    Sequences with equal content are kept as one range of numbers, so a step places all
-    pieces of a length that fit one range at once, or splits the range in two.
+    Sequences with equal content are kept as one range of numbers. Best fit goes on in a
+    sequence while the length fits, since that one has the least space; so a step fills as
+    many sequences of a range as it can, and one more with the rest.
     """
     room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by space left: (first, count)
-    spaces: list[int] = []  # spaces with a range, as a heap of candidates at or above a length
     slots, opened = [], 0
     for length in sorted(histogram, reverse=True):
         left, rank = histogram[length], 0
-        spaces = [s for s in range(length, capacity + 1) if room[s]]
-        heapq.heapify(spaces)
+        spaces = iter([s for s in range(length, capacity + 1) for _ in room[s]])
         while left:
-            while spaces and not room[spaces[0]]:
-                heapq.heappop(spaces)
-            if spaces:
-                space = spaces[0]
+            if (space := next(spaces, None)) is not None:
                 first, count = room[space].pop()
             else:
                 space, first = capacity, opened
                 count = -(-left // (capacity // length))
                 opened += count
-            used = min(count, left)
-            if used < count:
-                room[space].append((first + used, count - used))
-            slots.append((length, rank, used, first, capacity - space))
-            if not room[space - length] and space - length >= length:
-                heapq.heappush(spaces, space - length)
-            room[space - length].append((first, used))
-            rank, left = rank + used, left - used
+            each = space // length
+            full = min(count, left // each)
+            rest = left - full * each if full < count else 0
+            for bins, times in ((full, each), (1, rest)):
+                if not bins or not times:
+                    continue
+                for k in range(times):
+                    slots.append((length, rank, bins, first, capacity - space + k * length))
+                    rank, left = rank + bins, left - bins
+                room[space - times * length].append((first, bins))
+                first, count = first + bins, count - bins
+            if count:
+                room[space].append((first, count))
     return slots
 
 

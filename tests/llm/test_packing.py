@@ -43,6 +43,15 @@ def test_plan_places_every_piece_once(histogram):
     assert len(fill) == len(best_fit(histogram))
 
 
+def test_plan_is_best_fit_piece_by_piece():
+    for histogram in ({10: 31, 6: 7, 15: 1}, {33: 3, 20: 9, 7: 40, 5: 11, 1: 30}, {64: 2, 1: 1}, {}):
+        slots, space = packing.plan(histogram, 64), {}
+        for length, _, count, first, _ in slots:
+            for k in range(first, first + count):
+                space[k] = space.get(k, 64) - length
+        assert sorted(space.values()) == sorted(best_fit(histogram))
+
+
 def test_pieces_and_sequences(spark, docs_of):
     library = Tokenizer.from_file(PATH)
     values = ["", None, "short one", "word " * 5000, "x<|endoftext|>y", "Mixed É 中文 12,3\n\n " * 60, "same", "same"] + [f"text number {k} " * (k % 90) for k in range(120)]
